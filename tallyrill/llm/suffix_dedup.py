@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import U, block_count, mix, pack, prefix_hash, slice_hash, text_size, unpack_all
 
 #: A piece of this many bytes is hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: A token with more different stretches than this has its windows spread by content.
 HOT = 2048
 #: Rows of one in so many are read for splitters, and so many splitters are kept for each bucket.
@@ -259,8 +259,10 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 spread = np.zeros(len(row), U)
                 for c in range(words.shape[1]):
                     spread = mix(spread ^ words[:, c])
-                row, first, many, tok = row[head], first[head], many[head], spread[head]
-            where = (tok >> U(32)).astype(np.int64) * buckets >> 32
+                row, first, many = row[head], first[head], many[head]
+                where = (spread[head] >> U(32)).astype(np.int64) * buckets >> 32
+            else:  # all stretches of a token meet in the bucket of its least splitter
+                where = np.searchsorted(splits[:, 0], tok, "left")
             order = np.argsort(where, kind="stable")
             for s in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
                 size = many[s] + length - 1
