@@ -5,7 +5,262 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = ""
+from tallyrill.functions import records as R
+from tallyrill.operators import ledger as L
+from tallyrill.operators import log as G
+from tallyrill.operators import metrics as M
+
+from .fixtures import frame, with_fixtures
+
+FLAGSHIP = "ledger_prune"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(*tables: str, sql: str | None = None):
+    """Register a function of tables under its name, with the SQL that gives its rows."""
+
+    def add(f: Callable[..., DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[frame(spark, sf_dir, t) for t in tables])
+        if sql:
+            ORACLE_SQL[f.__name__] = with_fixtures(sql)
+        return f
+
+    return add
+
+
+_PAYLOAD = """CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN 'CEF:0|v|p|1|' || event_type WHEN 2 THEN '<134>x LEEF:2.0|v|p'
+  WHEN 3 THEN '<34>1 host ' || event_type WHEN 4 THEN '  ' || props WHEN 5 THEN '<9999> x' WHEN 6 THEN '' ELSE 'x' || props END"""
+
+
+def _payload() -> F.Column:
+    return F.expr(_PAYLOAD).cast("binary")
+
+
+@_query("events", sql=f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'jsonl' WHEN 1 THEN 'cef' WHEN 2 THEN 'leef' WHEN 3 THEN 'syslog' WHEN 4 THEN 'jsonl' ELSE 'raw' END AS format FROM events""")
+def detect_format(events):
+    return events.select("event_id", R.detect_record(_payload()).alias("format"))
+
+
+@_query("customer", sql="""SELECT c_custkey, regexp_replace(c_name || ' #' || c_mktsegment, '[^A-Za-z0-9_-]', '_', 'g') AS token,
+  replace(regexp_replace('../' || c_name || '/' || c_mktsegment, '[^A-Za-z0-9._=-]', '_', 'g'), '..', '_') AS segment,
+  array_to_string(list_filter(string_split('/a//' || c_mktsegment || '/', '/'), lambda x: x <> ''), '/') AS prefix,
+  coalesce(nullif(regexp_replace(regexp_replace(lower('__' || c_name || '!!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'telemetry') AS bucket,
+  regexp_full_match(c_mktsegment, '[A-Za-z0-9._-]{1,249}') AS valid FROM customer""")
+def sanitized_names(customer):
+    return customer.select("c_custkey", R.sanitize_token(F.concat("c_name", F.lit(" #"), "c_mktsegment")).alias("token"), R.sanitize_segment(F.concat(F.lit("../"), "c_name", F.lit("/"), "c_mktsegment")).alias("segment"), R.normalize_prefix(F.concat(F.lit("/a//"), "c_mktsegment", F.lit("/"))).alias("prefix"), R.sanitize_bucket(F.concat(F.lit("__"), "c_name", F.lit("!!"))).alias("bucket"), R.valid_name(F.col("c_mktsegment")).alias("valid"))
+
+
+@_query("ledger", sql="""SELECT batch_id, CASE WHEN source_type = 'kafka' THEN printf('p%d-%d-%d', batch_id % 6, batch_id, batch_id + bytes) ELSE printf('b%d-%d', batch_id, batch_id + bytes) END AS token,
+  CAST(batch_id AS VARCHAR) || CASE WHEN batch_id % 2 = 0 THEN '.cef.gz' ELSE '.txt' END AS object, printf('range-%020d', batch_id) AS stem,
+  CASE WHEN source_type = 'kafka' THEN bytes + 1 ELSE bytes END AS resume, CAST(floor(bytes / 2) + 1 AS BIGINT) AS majority, greatest(batch_id * 100 - 65535, 0) AS window_floor FROM ledger""")
+def names_and_positions(ledger):
+    fmt, packed = F.when(F.col("batch_id") % 2 == 0, "cef").otherwise("raw"), F.when(F.col("batch_id") % 2 == 0, "gzip").otherwise("none")
+    return ledger.select("batch_id", R.range_token(F.col("source_type"), F.col("batch_id") % 6, F.col("batch_id"), F.col("batch_id") + F.col("bytes")).alias("token"), R.object_name(F.col("batch_id").cast("string"), fmt, packed).alias("object"), R.stem(F.col("batch_id")).alias("stem"), R.commit_position(F.col("source_type"), F.col("bytes")).alias("resume"), R.majority(F.col("bytes")).alias("majority"), R.window_floor(F.col("batch_id") * 100).alias("window_floor"))
+
+
+@_query("ledger", sql="""SELECT batch_id, CASE WHEN bytes % 700 = 0 THEN 1.0::DOUBLE ELSE bytes::DOUBLE / (bytes % 700) END AS ratio,
+  CASE WHEN bytes = 0 THEN 0.0::DOUBLE ELSE (1.0::DOUBLE - (bytes % 700)::DOUBLE / bytes) * 100.0::DOUBLE END AS saved,
+  CASE WHEN batch_id % 4 = 0 THEN 0.0::DOUBLE ELSE bytes::DOUBLE / (batch_id % 4) END AS speed,
+  CASE WHEN bytes * bytes < 1024 THEN printf('%d B', bytes * bytes) WHEN bytes * bytes < 1048576 THEN printf('%.1f KiB', bytes * bytes / 1024.0::DOUBLE) WHEN bytes * bytes < 1073741824 THEN printf('%.1f MiB', bytes * bytes / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', bytes * bytes / 1073741824.0::DOUBLE) END AS shown FROM ledger""")
+def batch_ratios(ledger):
+    packed = F.col("bytes") % 700
+    return ledger.select("batch_id", R.compression_ratio(F.col("bytes"), packed).alias("ratio"), R.space_saved_pct(F.col("bytes"), packed).alias("saved"), R.per_second(F.col("bytes"), (F.col("batch_id") % 4).cast("double")).alias("speed"), R.human_bytes(F.col("bytes") * F.col("bytes")).alias("shown"))
+
+
+@_query("ledger", sql="SELECT state, count(*) AS batches FROM ledger GROUP BY state")
+def ledger_status(ledger):
+    return L.count_by_state(ledger)
+
+
+@_query("ledger", sql="SELECT path, greatest(max(end_byte), 0) AS end_byte FROM ledger WHERE state = 'source_committed' AND source_type = 'file' AND path IS NOT NULL GROUP BY path HAVING max(end_byte) IS NOT NULL")
+def ledger_seed(ledger):
+    return L.seed_positions(ledger, "file")
+
+
+@_query("ledger", sql="SELECT batch_id, owner FROM ledger WHERE state <> 'source_committed' AND (owner IS NULL OR owner = 'B' OR lease_expires_at IS NULL OR lease_expires_at <= 2050)")
+def ledger_claim(ledger):
+    return L.claimable(ledger, "B", F.lit(2050)).select("batch_id", "owner")
+
+
+@_query("ledger", sql="SELECT batch_id, state, CASE state WHEN 'source_committed' THEN 'none' WHEN 'verified' THEN 'retry_commit' ELSE 'replay' END AS action FROM ledger")
+def ledger_recovery(ledger):
+    return L.recovery_actions(ledger)
+
+
+@_query("ledger", sql="""SELECT a.batch_id FROM ledger a WHERE a.state = 'source_committed' AND a.updated_at < 9000 AND EXISTS (
+  SELECT 1 FROM ledger b WHERE b.state = 'source_committed' AND b.source_type = a.source_type AND coalesce(b.path, b.source_name) = coalesce(a.path, a.source_name)
+  AND (coalesce(b.end_byte, -1), b.updated_at, b.batch_id) > (coalesce(a.end_byte, -1), a.updated_at, a.batch_id))""")
+def ledger_prune(ledger):
+    return L.prunable(ledger, F.lit(9000)).select("batch_id")
+
+
+@_query("ledger", sql="""SELECT a.state AS old, b.state AS new, (a.state, b.state) IN (('verified', 'source_committed')) OR (b.state = 'failed' AND a.state <> 'source_committed') AS legal
+  FROM (SELECT DISTINCT state FROM ledger) a CROSS JOIN (SELECT DISTINCT state FROM ledger) b""")
+def legal_transitions(ledger):
+    states = ledger.select("state").distinct()  # as many rows as there are states
+    return states.select(F.col("state").alias("old")).crossJoin(F.broadcast(states.select(F.col("state").alias("new")))).select("old", "new", L.can_transition(F.col("old"), F.col("new")).alias("legal"))
+
+
+@_query("ledger", sql="""SELECT tenant AS dir, source_name || '/' || batch_id AS name, bytes FROM (
+  SELECT *, sum(bytes) OVER (PARTITION BY tenant ORDER BY updated_at DESC, source_name || '/' || batch_id DESC ROWS UNBOUNDED PRECEDING) AS kept FROM ledger) WHERE 9973 - updated_at >= 8000 OR kept > 3000000""")
+def work_dir_cleanup(ledger):
+    files = ledger.select(F.col("tenant").alias("dir"), F.concat("source_name", F.lit("/"), F.col("batch_id").cast("string")).alias("name"), "bytes", F.col("updated_at").alias("mtime"), (9973 - F.col("updated_at")).alias("age"))
+    return L.work_dir_deletions(files, 3_000_000, 8000)
+
+
+@_query("ledger", sql="""SELECT m.batch_id, CASE WHEN m.batch_id % 17 = 0 THEN 'object_missing' WHEN m.batch_id % 19 = 0 THEN 'size_differs' WHEN m.batch_id % 23 = 0 THEN 'digest_differs'
+  WHEN m.batch_id % 29 = 0 THEN 'ok_without_ledger' WHEN m.state NOT IN ('verified', 'source_committed') THEN 'ledger_not_verified' ELSE 'ok' END AS verdict FROM ledger m""")
+def manifest_verdicts(ledger):
+    b = F.col("batch_id")
+    manifests = ledger.select("batch_id", "bytes", F.lit("x").alias("sha"))
+    objects = ledger.where(b % 17 != 0).select("batch_id", F.when(b % 19 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"), F.when(b % 23 == 0, "y").otherwise("x").alias("sha"))
+    return L.reconcile(manifests, ledger.where(b % 29 != 0).select("batch_id", "state"), objects)
+
+
+@_query("ledger", "nation", sql="""SELECT l.source_name, coalesce(m.format, 'raw') AS format FROM (SELECT DISTINCT source_name FROM ledger) l
+  LEFT JOIN (SELECT 's' || n_regionkey AS name, arg_min('f' || n_nationkey, n_nationkey) AS format FROM nation GROUP BY n_regionkey) m ON l.source_name = m.name""")
+def source_formats(ledger, nation):
+    mapping = nation.select(F.concat(F.lit("s"), F.col("n_regionkey").cast("string")).alias("name"), F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("format"), F.col("n_nationkey").alias("position"))
+    return L.format_of(ledger.select("source_name").distinct().withColumn("detected", F.lit("raw")), mapping)
+
+
+@_query("records", sql="""WITH sums AS (SELECT topic, position, bytes, row_number() OVER w AS n, sum(bytes) OVER w AS total FROM records WINDOW w AS (PARTITION BY topic ORDER BY position)),
+  broken AS (SELECT topic, min(position) AS stop FROM sums WHERE n > 500 OR total > 9000 OR total - bytes >= 9000 GROUP BY topic)
+SELECT s.topic, s.position, s.bytes FROM sums s LEFT JOIN broken b ON s.topic = b.topic WHERE b.stop IS NULL OR s.position < b.stop""")
+def topic_admission(records):
+    return G.admit_by_topic(records, 500, 9000)
+
+
+@_query("records", sql="SELECT range_id, position, 40 + row_number() OVER (PARTITION BY range_id ORDER BY position) - 1 AS \"offset\" FROM records")
+def offset_assignment(records):
+    return G.assign_offsets(records, F.lit(40)).select("range_id", "position", "offset")
+
+
+_OFFSETS = 'offsets AS (SELECT range_id, position, bytes, row_number() OVER (PARTITION BY range_id ORDER BY position) - 1 AS "offset" FROM records)'
+
+
+@_query("records", "marks", sql=f"""WITH {_OFFSETS} SELECT o.range_id, o.position, o."offset" FROM offsets o JOIN marks m ON o.range_id = m.range_id WHERE o."offset" < least(m.high_watermark, m.committed)""")
+def log_visible(records, marks):
+    return G.visible(G.assign_offsets(records, F.lit(0)).select("range_id", "position", "offset"), marks)
+
+
+@_query("records", sql=f"""WITH {_OFFSETS}, sums AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS total FROM offsets WHERE "offset" >= 5 WINDOW w AS (PARTITION BY range_id ORDER BY "offset"))
+SELECT range_id, "offset", bytes FROM sums WHERE n = 1 OR (n <= 30 AND total <= 700)""")
+def log_fetch(records):
+    return G.fetch(G.assign_offsets(records, F.lit(0)), 5, 30, 700)
+
+
+@_query("records", "epochs", sql=f"""WITH {_OFFSETS} SELECT o.range_id, o."offset", e.epoch FROM (SELECT range_id, "offset" FROM offsets) o ASOF LEFT JOIN epochs e ON o.range_id = e.range_id AND o."offset" >= e.start_offset""")
+def epoch_lookup(records, epochs):
+    return G.epoch_of(G.assign_offsets(records, F.lit(0)).select("range_id", "offset"), epochs)
+
+
+@_query("epochs", sql="""WITH vectors AS (SELECT range_id, row_number() OVER (PARTITION BY range_id ORDER BY start_offset) AS ordinal, epoch, start_offset FROM epochs),
+  differ AS (SELECT range_id, ordinal, CASE WHEN range_id % 3 = 0 AND ordinal >= 4 THEN start_offset - 1 END AS p FROM vectors)
+SELECT range_id, CASE WHEN count(p) = 0 THEN 'agreed' ELSE 'diverged' END AS verdict, arg_min(p, ordinal) FILTER (p IS NOT NULL) AS "at" FROM differ GROUP BY range_id""")
+def lineage_check(epochs):
+    from pyspark.sql.window import Window as W
+
+    left = epochs.withColumn("ordinal", F.row_number().over(W.partitionBy("range_id").orderBy("start_offset")))
+    moved = (F.col("range_id") % 3 == 0) & (F.col("ordinal") >= 4)
+    return G.lineage_divergence(left, left.withColumn("start_offset", F.when(moved, F.col("start_offset") - 1).otherwise(F.col("start_offset"))))
+
+
+@_query("records", sql="""WITH RECURSIVE ordered AS (SELECT unit, position, bytes, row_number() OVER (PARTITION BY unit ORDER BY position) AS n FROM records),
+  fold AS (SELECT unit, position, bytes, n, 0 AS batch, 1 AS c, bytes AS total FROM ordered WHERE n = 1
+    UNION ALL SELECT o.unit, o.position, o.bytes, o.n, CASE WHEN f.c >= 25 OR f.total + o.bytes > 600 THEN f.batch + 1 ELSE f.batch END,
+      CASE WHEN f.c >= 25 OR f.total + o.bytes > 600 THEN 1 ELSE f.c + 1 END, CASE WHEN f.c >= 25 OR f.total + o.bytes > 600 THEN o.bytes ELSE f.total + o.bytes END
+    FROM fold f JOIN ordered o ON o.unit = f.unit AND o.n = f.n + 1)
+SELECT unit, position, bytes, batch::BIGINT AS batch FROM fold""")
+def greedy_batches(records):
+    return G.greedy_batches(records, 25, 600)
+
+
+@_query("records")
+def producer_checks(records):
+    return G.producer_verdicts(records.select("range_id", "position", "producer", "epoch", "sequence", F.col("bytes").alias("code")))
+
+
+@_query("records", sql="SELECT producer, epoch, min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS records FROM records GROUP BY producer, epoch")
+def producer_summaries(records):
+    return G.producer_summary(records)
+
+
+@_query("replicas", sql="""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY "offset" DESC NULLS LAST) AS place FROM replicas),
+  sums AS (SELECT segment, count("offset") AS answering, max("offset") FILTER (place = 2) AS boundary, max("offset") FILTER (leader) AS own FROM ranked GROUP BY segment)
+SELECT segment, answering, CASE WHEN answering >= 2 THEN boundary END AS boundary, CASE WHEN answering < 2 THEN 'no_quorum' WHEN own < boundary THEN 'leader_behind' ELSE 'established' END AS verdict FROM sums""")
+def quorum_offsets(replicas):
+    return G.committed_offset(replicas)
+
+
+@_query("replicas", sql="""SELECT segment, node, CASE WHEN "offset" IS NULL THEN NULL ELSE greatest(coalesce(max("offset") FILTER (leader) OVER w, max("offset") OVER w) - "offset", 0) END AS lag FROM replicas WINDOW w AS (PARTITION BY segment)""")
+def replica_lag(replicas):
+    return G.replica_lag(replicas)
+
+
+@_query("records", sql="""SELECT range_id, position, max(least(position % 300, position % 470)) OVER (PARTITION BY range_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS high_watermark FROM records""")
+def running_watermark(records):
+    return G.running_watermark(records.select("range_id", "position", (F.col("position") % 300).alias("update"), (F.col("position") % 470).alias("local")))
+
+
+@_query("replicas", "marks", sql="""SELECT s.segment, s.range_id, s.next_offset FROM (SELECT segment, segment % 30 AS range_id, max("offset") AS next_offset FROM replicas GROUP BY segment) s
+  LEFT JOIN (SELECT range_id, min(high_watermark) AS needed FROM marks GROUP BY range_id) m ON s.range_id = m.range_id WHERE m.needed IS NULL OR m.needed >= s.next_offset""")
+def retention_candidates(replicas, marks):
+    segments = replicas.groupBy("segment").agg(F.max("offset").alias("next_offset")).select("segment", (F.col("segment") % 30).alias("range_id"), "next_offset")
+    return G.deletable_segments(segments, marks.select("range_id", F.col("high_watermark").alias("record_offset")))
+
+
+@_query("nodes", sql="""WITH best AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY segment, domain ORDER BY score DESC, node) = 1)
+SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY score DESC, node)::INTEGER AS rank, node, domain FROM best QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score DESC, node) <= 3""")
+def replica_placement(nodes):
+    return G.place_replicas(nodes, 3)
+
+
+@_query("epochs", sql="""WITH s AS (SELECT range_id, start_offset AS base, start_offset + 6 + epoch AS next FROM epochs), n AS (SELECT *, lead(base) OVER (PARTITION BY range_id ORDER BY base, next) AS following FROM s)
+SELECT range_id, count(*) FILTER (following < next) AS overlaps, count(*) - count(DISTINCT base) AS repeated_slots FROM n GROUP BY range_id""")
+def catalog_conflicts(epochs):
+    return G.catalog_conflicts(epochs.select("range_id", F.col("start_offset").alias("base_offset"), (F.col("start_offset") + 6 + F.col("epoch")).alias("next_offset")))
+
+
+@_query("records", sql="SELECT epoch AS group_id, range_id, count(DISTINCT producer) AS holders FROM records GROUP BY epoch, range_id HAVING count(DISTINCT producer) > 1")
+def shared_assignments(records):
+    return G.shared_assignments(records.select(F.col("epoch").alias("group_id"), "range_id", F.col("producer").alias("member")))
+
+
+_GAINS = "gains AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN 0 WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS gain FROM samples WINDOW w AS (PARTITION BY series ORDER BY ts, id))"
+
+
+@_query("samples", sql=f"WITH {_GAINS} SELECT series, sum(gain) AS increase FROM gains GROUP BY series")
+def counter_increase(samples):
+    return M.increases(samples).groupBy("series").agg(F.sum("gain").alias("increase"))
+
+
+@_query("samples", sql=f"WITH {_GAINS} SELECT time_bucket(INTERVAL '1 day', ts) AS start, series, sum(gain) / 86400 AS rate FROM gains GROUP BY 1, 2")
+def counter_rate(samples):
+    return M.rates(samples, "series", "1 day", 86_400)
+
+
+@_query("samples", sql="""WITH bounds AS (SELECT unnest([50.0, 100.0, 200.0, 300.0, 'inf'::DOUBLE]) AS le), b AS (SELECT series, le, count(*) FILTER (value <= le) AS cum FROM samples CROSS JOIN bounds GROUP BY series, le),
+  r AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(cum) OVER w, 0) AS before, max(cum) OVER (PARTITION BY series) AS total FROM b WINDOW w AS (PARTITION BY series ORDER BY le)),
+  h AS (SELECT * FROM r WHERE cum >= 0.95::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY series ORDER BY le) = 1)
+SELECT series, CASE WHEN total = 0 THEN 'nan'::DOUBLE WHEN le = 'inf'::DOUBLE THEN low ELSE low + (le - low) * (0.95::DOUBLE * total - before) / (cum - before) END AS quantile FROM h""")
+def latency_quantile(samples):
+    bounds = F.explode(F.array(*[F.lit(x) for x in (50.0, 100.0, 200.0, 300.0, float("inf"))]))
+    buckets = samples.withColumn("le", bounds).groupBy("series", "le").agg(F.count_if(F.col("value") <= F.col("le")).alias("cum"))
+    return M.histogram_quantile(buckets, 0.95, "series")
+
+
+@_query("lineitem", sql="""SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 3) AS mean, round(quantile_cont(l_quantity, 0.5), 3) AS p50, round(quantile_cont(l_quantity, 0.95), 3) AS p95, round(quantile_cont(l_quantity, 0.99), 3) AS p99 FROM lineitem GROUP BY l_returnflag""")
+def batch_rollup(lineitem):
+    return M.rollup(lineitem, "l_returnflag", F.col("l_quantity"))
+
+
+@_query("records", sql="""WITH f AS (SELECT position // 40 AS batch_id, CASE WHEN position % 40 < 20 THEN 'cef' WHEN position % 3 = 0 THEN 'raw' ELSE 'jsonl' END AS format, row_number() OVER (PARTITION BY position // 40 ORDER BY position) AS n FROM records),
+  v AS (SELECT batch_id, format, count(*) AS votes FROM f WHERE n <= 32 GROUP BY batch_id, format)
+SELECT batch_id, CASE WHEN 2 * max(votes) FILTER (format <> 'raw') > sum(votes) THEN arg_max(format, votes) FILTER (format <> 'raw') ELSE 'raw' END AS format FROM v GROUP BY batch_id""")
+def batch_formats(records):
+    fmt = F.when(F.col("position") % 40 < 20, "cef").when(F.col("position") % 3 == 0, "raw").otherwise("jsonl")
+    return M.dominant_format(records.select(F.expr("position div 40").alias("batch_id"), "position", fmt.alias("format")))
