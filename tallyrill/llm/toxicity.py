@@ -1,7 +1,7 @@
 """Operator 6: toxicity by maximum-scoring segments.
 
 1. Fit.  Word and word-start counts of labelled rows give log-odds with an
-   informative Dirichlet prior (the prior of a key is its share of all counts);
+   informative Dirichlet prior (the prior of a key is half a count and its share);
    keys whose log-odds are many standard errors above zero get their log-odds as a
    weight, every other word costs DRIFT.
 2. Scan.  One linear pass over a text's token weights finds all maximal-scoring
@@ -12,7 +12,8 @@
    add up, and a logistic curve fitted on the training rows maps the sum to 0..1.
 
 The fit reads at most ``fit_rows`` labelled rows, those of least id hash (a
-documented bound); rows with one text count once.  Scoring covers every text
+documented bound); of texts with one least word shingle (copies and near copies)
+one counts.  Scoring covers every text
 whole.  Labels, ids, language and source are no inputs of a score.
 
 Defined results: null text counts as empty; a text without a significant segment
@@ -28,9 +29,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from .ngram_join import shingle_sets
 
 #: Bytes A-Z as a-z; other ASCII than letters is a gap, bytes from 128 belong to words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -123,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         return Scorer({}, curve=(math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0))
     chosen = F.broadcast(spark.createDataFrame(picked, "id long, y int"))
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("y", F.coalesce("text", F.lit("")).alias("text"))
-    sample = sample.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.first("text").alias("text")).select("y", "text")
+    # copies, near copies too, would make any word of theirs look telling: one text of a family counts
+    family = pandas_udf(lambda texts: pd.Series([int(s.min().view(np.int64)) if len(s) else 0 for s in shingle_sets([t.encode() for t in texts], 3)], dtype="int64"), "long")
+    sample = sample.groupBy(family("text").alias("h"), "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
 
     def count(batches):
         for batch in batches:
@@ -145,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     for r in rows:
         if not r.key:
             continue
-        prior = PRIOR * (r.clean + r.toxic) / (total.clean + total.toxic)
+        prior = 0.5 + PRIOR * (r.clean + r.toxic) / (total.clean + total.toxic)
         odds = math.log((r.toxic + prior) / (total.toxic + PRIOR - r.toxic - prior)) - math.log((r.clean + prior) / (total.clean + PRIOR - r.clean - prior))
         if odds / math.sqrt(1 / (r.toxic + prior) + 1 / (r.clean + prior)) >= LEAST_Z:
             weights[bytes(r.key)] = odds
