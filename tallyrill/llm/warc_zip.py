@@ -172,10 +172,14 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min
     """(page, copies, url, html, sha, first): distinct (page, payload) rows with the page that holds the payload."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
-    once = rows.groupBy("page", "sha").agg(F.count(F.lit(1)).alias("copies"), F.min("url").alias("url"), F.first("html").alias("html"))
+    counts = rows.groupBy("page", "sha").agg(F.count(F.lit(1)).alias("copies"))
     # null ids last: (is null, id) is least for the smallest id
     first = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("first"))
-    return once.join(first, "sha", "left").select("page", "copies", "url", "html", "sha", F.col("first").isNotNull().alias("shared"), F.col("first.page").alias("first"))
+    plan = counts.join(first, "sha", "left").select(F.col("page").alias("p"), F.col("sha").alias("s"), "copies", F.col("first").isNotNull().alias("shared"), F.col("first.page").alias("first"))
+    # the payloads move once; only rows that repeat an id and payload are grouped
+    placed = rows.join(plan, F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s"))).select("page", "copies", "url", "html", "sha", "shared", "first")
+    again = placed.where("copies > 1").groupBy("page", "copies", "sha", "shared", "first").agg(F.min("url").alias("url"), F.first("html").alias("html"))
+    return placed.where("copies = 1").unionByName(again)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
