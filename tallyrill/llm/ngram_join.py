@@ -64,9 +64,46 @@ def bands(most: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Texts are hashed so many bytes at a time.
+PIECE = 1 << 19
+
+
+def _pieces(texts: list[bytes]):
+    """(number of the text, piece of it), cut between words."""
+    for k, text in enumerate(texts):
+        at = 0
+        while True:
+            stop = at + PIECE
+            while stop < len(text) and text[stop] not in b" \t\n\x0b\x0c\r":
+                stop += 1
+            yield k, text[at:stop]
+            at = stop
+            if at >= len(text):
+                break
+
+
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles; fewer words make one shingle."""
-    hashes, counts = word_hashes(texts)
+    out: list[np.ndarray] = []
+    held, size = [], 0
+    for k, piece in [*_pieces(texts), (len(texts), b"")]:
+        if held and (k == len(texts) or size + len(piece) > PIECE and k != held[-1][0]):
+            counts = np.zeros(held[-1][0] - held[0][0] + 1, np.int64)
+            hashes = []
+            step = 64 if size <= 2 * PIECE else 1  # pieces of a long text come one by one
+            for at in range(0, len(held), step):
+                some = held[at : at + step]
+                h, n = word_hashes([p for _, p in some])
+                hashes.append(h)
+                np.add.at(counts, [j - held[0][0] for j, _ in some], n)
+            out += _shingles(np.concatenate(hashes), counts, words)
+            held, size = [], 0
+        held.append((k, piece))
+        size += len(piece)
+    return out
+
+
+def _shingles(hashes: np.ndarray, counts: np.ndarray, words: int) -> list[np.ndarray]:
     stops = np.cumsum(counts)
     n = max(len(hashes) - words + 1, 0)
     rolled = np.zeros(n, U)
@@ -313,9 +350,10 @@ def _verified(source: DataFrame, rows: DataFrame, classes: DataFrame, wanted: Da
             c1, c2 = class_of(sets)
             yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["c1", "c2", "shingles"])
 
-    # a row of each candidate class: by id, then by the class of the text itself, as an id may repeat
+    # The candidates grow with the corpus, so they are never broadcast.
+    # A row of each candidate class: by id, then by the class of the text itself, as an id may repeat
     holders = wanted.select(F.coalesce("least", F.lit(-1)).alias("id"), F.col("least").isNull().alias("none")).distinct()
-    texts = source.select(F.coalesce("id", F.lit(-1)).alias("id"), F.col("id").isNull().alias("none"), "text").join(holders, ["id", "none"], "left_semi").select("text")
+    texts = source.select(F.coalesce("id", F.lit(-1)).alias("id"), F.col("id").isNull().alias("none"), "text").join(holders.hint("merge"), ["id", "none"], "left_semi").select("text")
     sets = texts.mapInArrow(fetch, "c1 long, c2 long, shingles binary").groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
     sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = wanted.join(sets, ["c1", "c2"]).join(sizes.where("n > 1"), "component")
