@@ -5,14 +5,13 @@ similarity of their sets reaches the threshold.
 
 Signatures.  Sizes fall into bands.  Sets of one band (or of its upper neighbour)
 that link differ in at most k shingles, and k follows from the band's largest size.
-The shingle domain is hashed into ceil((k + 1) / 2) parts, so linked sets differ by
-at most one shingle in some part; each part is hashed into three, and the subsets
-of two thirds are enumerated, so linked sets agree in some subset.  A signature is
-the hash of a set's shingles in such a subset.  Sets must not meet just because both
-lack shingles there: a part with an empty subset has its block of two parts enumerated
-instead, and so on to larger blocks (LEVELS).  By the same count, linked sets have
-some part of at most 1 difference within a block of two parts of at most 3 within one
-of four parts of at most 7, and so on, so no link is lost on the way.
+The shingle domain is hashed into k + 1 parts, so linked sets agree in some part; a
+signature is the hash of a set's shingles there.  Sets must not meet just because both
+lack shingles in a part: where a set lacks them, the block of two parts around is hashed
+into three and its subsets of two are enumerated, then the block of four parts, and so
+on (LEVELS), as long as a subset is empty.  By the same count, linked sets have an equal
+part within a block of two parts that differs in at most 1 shingle, within one of four
+that differs in at most 3, and so on, so no link is lost on the way.
 
 Candidates.  Equal signatures within a task are linked as a star and only the star's
 centre travels on; packed buckets then link what is left.  Connected components of
@@ -50,8 +49,10 @@ CHUNK = 2048
 DENSE = 16
 BAND = 1.5
 #: Level l enumerates blocks of 2**l parts: (hashed into, subsets of).  A block there
-#: differs in at most 2 * 2**l - 1 shingles, which is what a subset leaves out.
-LEVELS = ((3, 2), (6, 3), (10, 3), (18, 3))
+#: differs in at most 2**l - 1 shingles, which is what a subset leaves out.
+LEVELS = ((1, 1), (3, 2), (6, 3), (10, 3), (18, 3))
+#: Signatures are made for sets of so many shingles at a time.
+SHINGLES = 1 << 20
 
 
 def bands(most: int) -> list[tuple[int, int]]:
@@ -168,7 +169,7 @@ def signatures(sets: list[np.ndarray], rule: Links) -> tuple[np.ndarray, np.ndar
     lows = np.array([b[0] for b in listed])
     own = np.searchsorted(lows, sizes, "right") - 1
     differ = [rule.differ(b[1]) for b in listed]
-    parts = [-(-(d + 1) // 2) if d else 0 for d in differ]
+    parts = [d + 1 if d else 0 for d in differ]
     jobs = []
     for k, (size, b) in enumerate(zip(sizes.tolist(), own.tolist())):
         if size and parts[b]:
@@ -299,44 +300,42 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _, total = text_size(source)
     buckets = block_count(total)
 
-    def describe(batches):
-        """Kind 0: a row's set size and class.  Kind 1: packed signatures for a bucket.  Kind 2: packed star edges."""
+    def classify(batches):
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column("text")]
-            sets = shingle_sets(texts, words)
+            sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
             c1, c2 = class_of(sets)
             sizes = np.array([len(s) for s in sets], np.int64)
-            n = len(sets)
-            rows = [pa.array([0] * n, pa.int32()), batch.column("id"), pa.array(sizes), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            names = ["kind", "id", "size", "c1", "c2", "bucket", "data"]
-            yield pa.RecordBatch.from_arrays(rows, names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], ["id", "size", "c1", "c2"])
+
+    def sign(batches):
+        """Packed signatures for a bucket from 0; packed star edges for one below 0."""
+        for batch in batches:
+            sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
+            c1, _ = class_of(sets)
+            sizes = np.array([len(s) for s in sets], np.int64)
             _, once = np.unique(c1, return_index=True)
-            sig, ref = signatures([sets[k] for k in once], rule)
-            sig, node, a, b = stars(sig, c1.view(np.int64)[once][ref])
-            where = (sig >> U(32)).astype(np.int64) * buckets >> 32  # sorted, as sig is
-            cut = np.flatnonzero(np.diff(where)) + 1
-            out = [(1, int(where[s[0]]), _packed(sig[s], node[s])) for s in np.split(np.arange(len(sig)), cut) if len(s)]
-            if len(a):
-                out.append((2, None, pack(a, b)))
-            m = len(out)
-            rest = [pa.nulls(m, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *rest, pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names)
+            out = []
+            for some in np.split(once, np.flatnonzero(np.diff(np.cumsum(sizes[once]) // SHINGLES)) + 1):
+                sig, ref = signatures([sets[k] for k in some], rule)
+                sig, node, a, b = stars(sig, c1.view(np.int64)[some][ref])
+                where = (sig >> U(32)).astype(np.int64) * buckets >> 32  # sorted, as sig is
+                cut = np.flatnonzero(np.diff(where)) + 1
+                out += [(int(where[s[0]]), _packed(sig[s], node[s])) for s in np.split(np.arange(len(sig)), cut) if len(s)]
+                if len(a):
+                    out.append((-1 - int(a[0] % buckets), pack(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "data"])
 
     def link(key, table):
-        cols = [unpack_all([d], 3) for d in table.column("data").to_pylist()]
-        _, _, a, b = stars(np.concatenate([np.cumsum(c[0]) for c in cols]), np.concatenate([c[1][c[2]] for c in cols]))
+        data = table.column("data").to_pylist()
+        if key[0].as_py() < 0:
+            a, b = unpack_all(data, 2)
+        else:
+            cols = [unpack_all([d], 3) for d in data]
+            _, _, a, b = stars(np.concatenate([np.cumsum(c[0]) for c in cols]), np.concatenate([c[1][c[2]] for c in cols]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    def spread(batches):
-        for batch in batches:
-            a, b = unpack_all(batch.column("data").to_pylist(), 2)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    # written once, in compressed blocks: three later steps read it
-    described = checkpoint(source.mapInArrow(describe, "kind int, id long, size long, c1 long, c2 long, bucket int, data binary"))
-    rows = described.where("kind = 0").select("id", "size", "c1", "c2")
-    edges = described.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(link, "a long, b long")
-    edges = edges.unionByName(described.where("kind = 2").select("data").mapInArrow(spread, "a long, b long"))
+    rows = checkpoint(source.mapInArrow(classify, "id long, size long, c1 long, c2 long"), "classes")
+    edges = source.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(link, "a long, b long")
     clusters = components(edges)  # (node, component) over c1
     classes = rows.where("size > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"), F.max("id").alias("some"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"))
     wanted = checkpoint(classes.join(clusters.select(F.col("node").alias("c1"), "component"), "c1"))
