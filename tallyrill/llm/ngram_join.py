@@ -3,6 +3,11 @@
 Rows with equal shingle sets form a class.  Two classes link when the Jaccard
 similarity of their sets reaches the threshold.
 
+Pruning.  Of a set that links with another at least percent per cent of the shingles
+occur in that other set too.  Shingles are counted over all rows, by short codes (codes
+that meet by chance only make a shingle look shared), and sets with more lone shingles
+than that allows, which link with nothing, get no signatures.
+
 Signatures.  Sizes fall into bands.  Sets of one band (or of its upper neighbour)
 that link differ in at most k shingles, and k follows from the band's largest size.
 The shingle domain is hashed into k + 1 parts, so linked sets agree in some part; a
@@ -23,7 +28,8 @@ cluster of more than CHUNK classes is compared chunk against chunk in separate
 tasks, so no task holds more than two chunks.  Small clusters share tasks.  Pairs
 are never emitted: a task returns link counts and a spanning star per component.
 
-A class's sets come from its texts, read again for candidates only.
+The texts of the sets that pass pruning are written as a table once; signatures and
+verification read that table.
 
 Defined results: null or empty text has an empty set, which links with nothing, and
 its row is its own component; component_id is the smallest id reachable, so rows
@@ -41,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, block_count, checkpoint, mix, pack, text_size, unpack_all, word_hashes
+from .common import U, block_count, checkpoint, mix, pack, text_size, unpack, unpack_all, word_hashes
 from .components import components
 
 CHUNK = 2048
@@ -224,6 +230,102 @@ def _enumerate(jobs, sets, parts, sigs, refs) -> None:
         block_job, block = code >> 32, code & 0xFFFFFFFF
 
 
+def _codes(shingles: np.ndarray, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, code of ``width`` bytes in it) of each shingle."""
+    h = mix(shingles ^ U(0x3C6EF372FE94F82B))
+    return (h >> U(32)).astype(np.int64) * buckets >> 32, (h & U((1 << 8 * width) - 1)).astype(np.uint32)
+
+
+def lone_codes(sets: list[np.ndarray], buckets: int, width: int):
+    """For each bucket: (bucket, numbers of the sets that alone have a code here, those codes' bytes, codes of several sets)."""
+    number = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+    bucket, code = _codes(np.concatenate(sets), buckets, width)
+    key = bucket << 32 | code
+    order = np.argsort(key, kind="stable")
+    key, number = key[order], number[order]
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    alone = head & np.append(head[1:], True)
+    lone, number, several = key[alone], number[alone], key[head & ~alone]
+    order = np.lexsort((number, lone >> 32))
+    lone, number = lone[order], number[order]
+    present = np.unique(key >> 32)
+    a, b = (np.searchsorted(k >> 32, np.append(present, buckets)) for k in (lone, several))
+    for k, where in enumerate(present.tolist()):
+        low = (lone[a[k] : a[k + 1]] & 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+        yield where, number[a[k] : a[k + 1]], low, (several[b[k] : b[k + 1]] & 0xFFFFFFFF).astype(np.uint32)
+
+
+def may_link(source: DataFrame, rule: Links, words: int, total: int) -> DataFrame:
+    """Ids (id, none) of rows whose sets do not have too many shingles of their own to link with another.
+
+    Rows of a batch come in groups of bounded size, named by their content.  A group
+    sends its codes to buckets; a bucket answers how many of each set's codes no other
+    set has; the answers meet at the group's list of sets.
+    """
+    buckets = block_count(total)
+    # a bucket's shingles, one every six bytes of text at least, leave most codes of that width free
+    width = 3 if total / buckets < 6 * (1 << 21) else 4
+
+    def announce(batches):
+        for batch in batches:
+            sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
+            c1, _ = class_of(sets)
+            none = np.array(batch.column("id").is_null())
+            ids = np.array(batch.column("id").fill_null(0))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            order = np.lexsort((ids, none, c1))
+            order = order[np.append(True, c1[order][1:] != c1[order][:-1])] if len(order) else order
+            order = order[sizes[order] > 0]
+            for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // SHINGLES)) + 1):
+                if not len(some):
+                    continue
+                group = int(mix(mix(c1[some]) + ids[some].view(U)).sum(dtype=U).view(np.int64))
+                allowed = np.array([n - rule.smaller(n) for n in sizes[some].tolist()], np.int64)
+                out = [(-1 - group % buckets, pack(ids[some], none[some].astype(np.uint8), allowed))]
+                for where, number, low, several in lone_codes([sets[k] for k in some], buckets, width):
+                    step = np.diff(number, prepend=number[:1])
+                    out.append((where, pack(step.astype(np.min_scalar_type(step.max(initial=0))), number[:1], low.T, several)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([group] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "group", "data"])
+
+    def count(key, table):
+        groups, data = table.column("group").to_pylist(), table.column("data").to_pylist()
+        if key[0].as_py() < 0:
+            return pa.table({"group": pa.array(groups, pa.int64()), "sets": pa.array(data, pa.binary()), "lone": pa.array([None] * len(data), pa.binary())})
+        numbers, codes = [], []
+        for value in data:
+            step, first, low, several = unpack(value)
+            wide = np.zeros((len(step), 4), np.uint8)
+            wide[:, :width] = low.reshape(width, -1).T
+            numbers.append(np.cumsum(step, dtype=np.int64) + (first[0] if len(first) else 0))
+            codes += [wide.view("<u4").ravel(), several]
+        _, inverse, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        once = times[inverse] == 1
+        out, at = [], 0
+        for k, number in enumerate(numbers):
+            who, n = np.unique(number[once[at : at + len(number)]], return_counts=True)
+            out.append(pack(who.astype(np.uint32), n.astype(np.uint32)))
+            at += len(number) + len(codes[2 * k + 1])
+        return pa.table({"group": pa.array(groups, pa.int64()), "sets": pa.array([None] * len(out), pa.binary()), "lone": pa.array(out, pa.binary())})
+
+    def judge(table):
+        ids, none, allowed = unpack(next(v for v in table.column("sets").to_pylist() if v is not None))
+        who, n = unpack_all(table.column("lone").to_pylist(), 2)
+        stay = np.bincount(who.astype(np.int64), n, len(ids)) <= allowed
+        return pa.table({"id": pa.array(np.where(none, -1, ids)[stay], pa.int64()), "none": pa.array(none[stay] > 0)})
+
+    sent = source.mapInArrow(announce, "bucket int, group long, data binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "group long, sets binary, lone binary")
+    return counted.groupBy("group").applyInArrow(judge, "id long, none boolean").distinct()
+
+
+def _of_ids(source: DataFrame, holders: DataFrame) -> DataFrame:
+    """Rows of ``source`` with the ids (id, none); those grow with the corpus, so they are never broadcast."""
+    keyed = source.select(F.coalesce("id", F.lit(-1)).alias("_id"), F.col("id").isNull().alias("_none"), "id", "text")
+    holders = holders.select(F.col("id").alias("_id"), F.col("none").alias("_none"))
+    return keyed.join(holders.hint("merge"), ["_id", "_none"], "left_semi").select("id", "text")
+
+
 def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signatures, their least node; edges a > b of the stars) of equal signatures."""
     order = np.lexsort((node, sig))
@@ -335,24 +437,24 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = checkpoint(source.mapInArrow(classify, "id long, size long, c1 long, c2 long"), "classes")
-    edges = source.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(link, "a long, b long")
+    kept = checkpoint(_of_ids(source, may_link(source, rule, words, total)), "kept")
+    edges = kept.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(link, "a long, b long")
     clusters = components(edges)  # (node, component) over c1
     classes = rows.where("size > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"), F.max("id").alias("some"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"))
     wanted = checkpoint(classes.join(clusters.select(F.col("node").alias("c1"), "component"), "c1"))
-    return _verified(source, rows, classes, wanted, rule, words, id_col)
+    return _verified(kept, rows, classes, wanted, rule, words, id_col)
 
 
-def _verified(source: DataFrame, rows: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Links, words: int, id_col: str) -> DataFrame:
+def _verified(kept: DataFrame, rows: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Links, words: int, id_col: str) -> DataFrame:
     def fetch(batches):
         for batch in batches:
             sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
             c1, c2 = class_of(sets)
             yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["c1", "c2", "shingles"])
 
-    # The candidates grow with the corpus, so they are never broadcast.
     # A row of each candidate class: by id, then by the class of the text itself, as an id may repeat
     holders = wanted.select(F.coalesce("least", F.lit(-1)).alias("id"), F.col("least").isNull().alias("none")).distinct()
-    texts = source.select(F.coalesce("id", F.lit(-1)).alias("id"), F.col("id").isNull().alias("none"), "text").join(holders.hint("merge"), ["id", "none"], "left_semi").select("text")
+    texts = _of_ids(kept, holders).select("text")
     sets = texts.mapInArrow(fetch, "c1 long, c2 long, shingles binary").groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
     sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = wanted.join(sets, ["c1", "c2"]).join(sizes.where("n > 1"), "component")
@@ -425,7 +527,8 @@ def _verified(source: DataFrame, rows: DataFrame, classes: DataFrame, wanted: Da
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component, that of the component's id; rows without links all stay."""
     found = similar_sets(docs, id_col, text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay"))
+    own = next(n for n in map("near_{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(id_col).isNull().alias("none")).alias(own)
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key).distinct()
     # an id may repeat: of its rows one stays for each component that it names, at most all of them
-    own = docs.join(stay.distinct(), F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    return own.dropDuplicates([id_col, text_col])
+    return docs.select("*", key).join(stay, own, "left_semi").dropDuplicates([own, text_col]).select(*docs.columns)

@@ -262,3 +262,17 @@ def test_pipeline(spark):
             assert out.count() == out.select("text").distinct().count() <= docs.count()
         docs = exact_dedup.checkpoint(out)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_op2_pruning(spark):
+    """Sets with too many shingles of their own go before signatures; copies' and near copies' stay."""
+    rnd = random.Random(5)
+    shared = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join(shared + [f"u{k}x{rnd.randrange(10**9)}" for _ in range(60)])) for k in range(200)]
+    body = [f"b{k}" for k in range(200)]
+    rows += [(1000 + k, " ".join(body[:k] + ["x"] + body[k + 1 :])) for k in range(20)] + [(2000, rows[0][1]), (None, rows[1][1]), (3000, ""), (3001, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    stay = {(r.id, r.none) for r in ngram_join.may_link(df, ngram_join.Links(80), 5, 10**6).collect()}
+    assert {(1000 + k, False) for k in range(20)} <= stay
+    assert stay <= {(1000 + k, False) for k in range(20)} | {(0, False), (1, False), (2000, False), (-1, True)}
+    assert not ngram_join.may_link(df.limit(0), ngram_join.Links(80), 5, 0).collect()
