@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.functions import records as R
@@ -12,25 +9,10 @@ from tallyrill.operators import ledger as L
 from tallyrill.operators import log as G
 from tallyrill.operators import metrics as M
 
-from .fixtures import frame, with_fixtures
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+from .registry import query as _query
 
 FLAGSHIP = "ledger_prune"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(*tables: str, sql: str | None = None):
-    """Register a function of tables under its name, with the SQL that gives its rows."""
-
-    def add(f: Callable[..., DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[frame(spark, sf_dir, t) for t in tables])
-        if sql:
-            ORACLE_SQL[f.__name__] = with_fixtures(sql)
-        return f
-
-    return add
-
-
 _PAYLOAD = """CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN 'CEF:0|v|p|1|' || event_type WHEN 2 THEN '<134>x LEEF:2.0|v|p'
   WHEN 3 THEN '<34>1 host ' || event_type WHEN 4 THEN '  ' || props WHEN 5 THEN '<9999> x' WHEN 6 THEN '' ELSE 'x' || props END"""
 
@@ -264,3 +246,6 @@ SELECT batch_id, CASE WHEN 2 * max(votes) FILTER (format <> 'raw') > sum(votes)
 def batch_formats(records):
     fmt = F.when(F.col("position") % 40 < 20, "cef").when(F.col("position") % 3 == 0, "raw").otherwise("jsonl")
     return M.dominant_format(records.select(F.expr("position div 40").alias("batch_id"), "position", fmt.alias("format")))
+
+
+from . import cluster, transfer  # noqa: E402, F401  their queries register themselves

@@ -43,7 +43,7 @@ def with_fixtures(sql: str) -> str:
     """DuckDB SQL with the fixtures that it names as common table expressions."""
     named = [f"{n} AS ({q.replace('{', '').replace('}', '')})" for n, q in SQL.items() if f" {n}" in sql.replace("\n", " ")]
     head, _, rest = sql.strip().partition(" ")
-    if head.upper() == "WITH":
+    if head.upper() == "WITH" and named:
         recursive = rest.startswith("RECURSIVE ")
         return f"WITH {'RECURSIVE ' * recursive}{', '.join(named)}, {rest.removeprefix('RECURSIVE ')}"
-    return f"WITH {', '.join(named)} {sql}" if named else sql
+    return f"WITH {', '.join(named)} {sql}" if named else sql.strip()
