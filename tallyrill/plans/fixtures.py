@@ -19,9 +19,11 @@ SELECT event_id AS position, user_id % 20 AS range_id, event_type AS topic, CAST
   user_id % 5 AS producer, event_id % 3 AS epoch, event_id % 50 AS sequence, user_id % 12 AS unit FROM {events}""",
     "marks": "SELECT user_id % 20 AS range_id, max(event_id) % 977 AS high_watermark, count(*) AS committed FROM {events} GROUP BY user_id % 20",
     "epochs": "SELECT DISTINCT user_id % 20 AS range_id, event_id % 6 AS epoch, (event_id % 6) * 9 AS start_offset FROM {events}",
+    # three rows of an order are a segment's replicas, the next three those of a further segment (an order has far fewer than 1,000,003 rows)
     "replicas": """
-SELECT l_orderkey AS segment, l_linenumber AS node, l_linenumber = 1 AS leader, 3 AS replication,
-  CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_suppkey * 10 END AS "offset" FROM {lineitem} WHERE l_linenumber <= 3""",
+SELECT l_orderkey * 1000003 + place - (place - 1) % 3 AS segment, (place - 1) % 3 + 1 AS node, (place - 1) % 3 = 0 AS leader, 3 AS replication, "offset"
+FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS INTEGER) AS place,
+  CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_suppkey * 10 END AS "offset" FROM {lineitem}) AS placed""",
     "samples": """
 SELECT event_id AS id, event_type AS series, ts, CAST(event_id % 400 AS DOUBLE) AS value FROM {events}""",
     "nodes": """
