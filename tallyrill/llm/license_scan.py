@@ -2,13 +2,14 @@
 
 Every template (a licence's phrase or notice) is listed in an index from word to
 (template, position).  A file looks up its licence words, the rarest first: a
-template is considered only where its word of highest IDF stands.  Each such place
-gives an alignment; the postings of the template's other words are intersected at
-the same relative positions, and the template counts if its mandatory phrases all
-stand word for word and enough of it is covered.
+template is considered only where the word of highest IDF of its mandatory phrases
+stands, which every match must hold.  Each such place gives an alignment; the
+postings of the template's other words are intersected at the same relative
+positions, and the template counts if its mandatory phrases all stand word for word
+and enough of it is covered.
 
 IDF is taken over the templates, so it does not change with the corpus; choosing
-another rare word finds the same alignments, only slower.
+another mandatory word finds the same alignments, only slower.
 
 Defined results: null text counts as empty (no words, null positions, empty
 labels, score 0); null ids and repeated rows give separate rows; empty tables give
@@ -62,11 +63,11 @@ class Index:
         self.rare: dict[bytes, list[tuple[int, int]]] = {}
         for k, (label, text, must, is_base) in enumerate(listed):
             words = text.encode().split()
-            at = max(range(len(words)), key=lambda i: (self.idf[words[i]], -i))
             phrases = []
             for phrase in must:
                 p = phrase.encode().split()
                 phrases.append(next((i, p) for i in range(len(words)) if words[i : i + len(p)] == p))
+            at = max((i + j for i, p in phrases for j in range(len(p))), key=lambda i: (self.idf[words[i]], -i))
             self.templates.append((label, words, phrases, is_base, sum(self.idf[w] for w in words)))
             self.rare.setdefault(words[at], []).append((k, at))
         self.anchors = {*self.rare}
