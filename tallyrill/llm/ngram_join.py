@@ -395,19 +395,33 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows link when 100 * intersection >= percent * union of their shingle sets;
     n_links counts the other rows that a row links with, equal sets included.
     """
+    rows, named = _named_classes(docs, id_col, text_col, words, percent)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    full = checkpoint(named.join(least, "component").select("c1", "c2", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    out = rows.where("size > 0").join(full, ["c1", "c2"]).select("id", F.col("size").alias("n_shingles"), "component_id", "n_links")
+    empty = rows.where("size = 0").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(empty).withColumnRenamed("id", id_col)
+
+
+def _named_classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with size, c1, c2; classes of the rows with shingles, with component and links).
+
+    ``keyed``: rows have the SHA-256 of their text too, and classes the first of their rows (none, id, sha).
+    """
     if not 70 <= percent <= 100:  # linked sizes must lie in one band or two neighbouring ones
         raise ValueError("percent must be from 70 to 100")
     rule = Links(percent)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     _, total = text_size(source)
     buckets = block_count(total)
+    sha = ["sha"] if keyed else []
 
     def classify(batches):
         for batch in batches:
             sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
             c1, c2 = class_of(sets)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], ["id", "size", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), *[batch.column(c) for c in sha]], ["id", "size", "c1", "c2", *sha])
 
     def sign(batches):
         """Packed signatures for a bucket from 0; packed star edges for one below 0."""
@@ -436,16 +450,23 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             _, _, a, b = stars(np.concatenate([np.cumsum(c[0]) for c in cols]), np.concatenate([c[1][c[2]] for c in cols]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = checkpoint(source.mapInArrow(classify, "id long, size long, c1 long, c2 long"), "classes")
+    texts = source.withColumn("sha", _sha("text")) if keyed else source
+    rows = checkpoint(texts.mapInArrow(classify, "id long, size long, c1 long, c2 long" + ", sha binary" * keyed), "classes")
     kept = checkpoint(_of_ids(source, may_link(source, rule, words, total)), "kept")
     edges = kept.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(link, "a long, b long")
     clusters = components(edges)  # (node, component) over c1
-    classes = rows.where("size > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"), F.max("id").alias("some"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"))
-    wanted = checkpoint(classes.join(clusters.select(F.col("node").alias("c1"), "component"), "c1"))
-    return _verified(kept, rows, classes, wanted, rule, words, id_col)
+    first = [F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("first")] if keyed else []
+    classes = rows.where("size > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"), F.max("id").alias("some"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), *first)
+    wanted = checkpoint(classes.drop("first").join(clusters.select(F.col("node").alias("c1"), "component"), "c1"))
+    return rows, _verified(kept, classes, wanted, rule, words)
 
 
-def _verified(kept: DataFrame, rows: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Links, words: int, id_col: str) -> DataFrame:
+def _sha(text: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def _verified(kept: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Links, words: int) -> DataFrame:
+    """``classes`` with the component that each is in and the rows of other classes that it links with."""
     def fetch(batches):
         for batch in batches:
             sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
@@ -516,19 +537,19 @@ def _verified(kept: DataFrame, rows: DataFrame, classes: DataFrame, wanted: Data
     linked = components(verified.select(F.col("c1").alias("a"), F.explode("to").alias("b")))
     degrees = verified.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
     named = classes.join(linked.select(F.col("node").alias("c1"), "component"), "c1", "left").join(degrees, ["c1", "c2"], "left")
-    named = named.withColumn("component", F.coalesce("component", "c1"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    full = checkpoint(named.join(least, "component").select("c1", "c2", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    out = rows.where("size > 0").join(full, ["c1", "c2"]).select("id", F.col("size").alias("n_shingles"), "component_id", "n_links")
-    empty = rows.where("size = 0").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(empty).withColumnRenamed("id", id_col)
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component, that of the component's id; rows without links all stay."""
-    found = similar_sets(docs, id_col, text_col, **options)
-    own = next(n for n in map("near_{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(id_col).isNull().alias("none")).alias(own)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    # an id may repeat: of its rows one stays for each component that it names, at most all of them
-    return docs.select("*", key).join(stay, own, "left_semi").dropDuplicates([own, text_col]).select(*docs.columns)
+    return named.withColumn("component", F.coalesce("component", "c1"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one row of each component, the first by (id, nulls last, SHA-256 of the text); rows without shingles all stay."""
+    rows, named = _named_classes(docs, id_col, text_col, words, percent, keyed=True)
+    own, empty = [n for n in map("near_{}".format, range(len(docs.columns) + 2)) if n not in docs.columns][:2]
+    key = lambda none, id_, sha: F.struct(F.coalesce(id_, F.lit(-1)).alias("id"), none.alias("none"), sha.alias("sha")).alias(own)
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    stay = firsts.select(key(F.col("first.none"), F.col("first.id"), F.col("first.sha")), F.lit(False).alias(empty))
+    alone = rows.where("size = 0").select(key(F.col("id").isNull(), F.col("id"), F.col("sha")), F.lit(True).alias(empty)).distinct()
+    id_ = F.col(id_col).cast("long")
+    found = docs.select("*", key(id_.isNull(), id_, _sha(text_col))).join(stay.unionByName(alone), own)
+    # rows that repeat the kept id and text are copies of it; a row without shingles is a component by itself
+    found = found.withColumn(empty, F.when(F.col(empty), F.monotonically_increasing_id()))
+    return found.dropDuplicates([own, empty]).select(*docs.columns)
