@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import checkpoint
 from .ngram_join import shingle_sets
 
 #: Bytes A-Z as a-z; other ASCII than letters is a gap, bytes from 128 belong to words.
@@ -116,6 +117,15 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * math.log1p(summed)))))
 
 
+def telling(counts: DataFrame, total) -> DataFrame:
+    """Keys (key, clean, toxic) that could be weighted, whatever the balance of the classes; only these leave the executors."""
+    prior = 0.5 + PRIOR * (F.col("clean") + F.col("toxic")) / float(max(1, total.clean + total.toxic))
+    toxic, clean = F.col("toxic") + prior, F.col("clean") + prior
+    odds = F.log(toxic / (total.toxic + PRIOR - toxic)) - F.log(clean / (total.clean + PRIOR - clean))
+    # a little below the least, as the driver's logarithms decide
+    return counts.where((F.col("key") != F.lit(b"")) & (F.col("toxic") >= LEAST_TEXTS)).where(odds / F.sqrt(1 / toxic + 1 / clean) >= LEAST_Z - 1e-6)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> Scorer:
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
@@ -144,14 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             got[b""] = totals
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array([v[0] for v in got.values()], pa.int64()), pa.array([v[1] for v in got.values()], pa.int64())], ["key", "clean", "toxic"])
 
-    counts = sample.mapInArrow(count, "key binary, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # only keys that could be weighted leave the executors: a share of the bounded sample's vocabulary
-    rows = counts.where((F.col("key") == F.lit(b"")) | ((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > F.col("clean")))).collect()
-    total = next((r for r in rows if not r.key), None)
+    counts = checkpoint(sample.mapInArrow(count, "key binary, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "keys")
+    total = counts.where(F.col("key") == F.lit(b"")).first()
     weights: dict[bytes, float] = {}
-    for r in rows:
-        if not r.key:
-            continue
+    for r in telling(counts, total).collect() if total else []:
         prior = 0.5 + PRIOR * (r.clean + r.toxic) / (total.clean + total.toxic)
         odds = math.log((r.toxic + prior) / (total.toxic + PRIOR - r.toxic - prior)) - math.log((r.clean + prior) / (total.clean + PRIOR - r.clean - prior))
         if odds / math.sqrt(1 / (r.toxic + prior) + 1 / (r.clean + prior)) >= LEAST_Z:
