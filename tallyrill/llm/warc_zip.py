@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
 #: Payload bytes after which a new archive begins.
@@ -169,17 +170,19 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page, copies, url, html, sha, first): distinct (page, payload) rows with the page that holds the payload."""
+    """(page, copies, url, html, sha, shared, first, holds): distinct (page, url, payload) rows with the page that holds the payload."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
     counts = rows.groupBy("page", "sha").agg(F.count(F.lit(1)).alias("copies"))
     # null ids last: (is null, id) is least for the smallest id
     first = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("first"))
     plan = counts.join(first, "sha", "left").select(F.col("page").alias("p"), F.col("sha").alias("s"), "copies", F.col("first").isNotNull().alias("shared"), F.col("first.page").alias("first"))
-    # the payloads move once; only rows that repeat an id and payload are grouped
+    # the payloads move once; only rows that repeat an id and payload are grouped, each url by itself
     placed = rows.join(plan, F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s"))).select("page", "copies", "url", "html", "sha", "shared", "first")
-    again = placed.where("copies > 1").groupBy("page", "copies", "sha", "shared", "first").agg(F.min("url").alias("url"), F.first("html").alias("html"))
-    return placed.where("copies = 1").unionByName(again)
+    again = placed.where("copies > 1").groupBy("page", "url", "sha", "shared", "first").agg(F.count(F.lit(1)).alias("copies"), F.first("html").alias("html"))
+    leads = F.row_number().over(W.partitionBy("page", "sha").orderBy("url")) == 1
+    rows = placed.where("copies = 1").withColumn("leads", F.lit(True)).unionByName(again.withColumn("leads", leads))
+    return rows.withColumn("holds", F.col("leads") & F.col("page").eqNullSafe(F.col("first"))).drop("leads")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
@@ -188,12 +191,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     def pack(batches):
         held, size = [], 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page", "copies", "url", "html", "shared", "first")]
-            for page, copies, url, html, shared, first in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("page", "copies", "url", "html", "shared", "first", "holds")]
+            for page, copies, url, html, shared, first, holds in zip(*columns):
                 payload = html.encode()
                 digest, label = base32_sha1(payload), "-" if page is None else str(page)
                 for copy in range(copies):
-                    response = not shared or (page == first and copy == 0)
+                    response = not shared or (holds and copy == 0)
                     record = warc_record("response" if response else "revisit", label, url or "urn:unknown", digest, len(payload), payload if response else b"", "-" if first is None else str(first))
                     held.append((label, record))
                     size += len(record)
