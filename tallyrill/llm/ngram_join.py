@@ -549,7 +549,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = firsts.select(key(F.col("first.none"), F.col("first.id"), F.col("first.sha")), F.lit(False).alias(empty))
     alone = rows.where("size = 0").select(key(F.col("id").isNull(), F.col("id"), F.col("sha")), F.lit(True).alias(empty)).distinct()
     id_ = F.col(id_col).cast("long")
-    found = docs.select("*", key(id_.isNull(), id_, _sha(text_col))).join(stay.unionByName(alone), own)
+    # merged, not broadcast: so the texts lie by key already where repeats are dropped
+    found = docs.select("*", key(id_.isNull(), id_, _sha(text_col))).join(stay.unionByName(alone).hint("merge"), own)
     # rows that repeat the kept id and text are copies of it; a row without shingles is a component by itself
     found = found.withColumn(empty, F.when(F.col(empty), F.monotonically_increasing_id()))
     return found.dropDuplicates([own, empty]).select(*docs.columns)
