@@ -8,32 +8,40 @@ stored members, and reads single records by the index's offsets.
 ``write_archives`` packs each partition's pages into archives of bounded size and
 writes them as rows (archive, content) of a Parquet table in the shared folder, so
 that any executor, and any later job, can read them from any file system that
-Spark reads.  ``read_archives`` range-reads every indexed record of every archive.
+Spark reads.  ``read_archives`` range-reads every indexed record of every archive;
+the ranges are taken from an archive that Spark has loaded as one value, at most
+ARCHIVE_BYTES and one record long.  ``file_reader`` gives the same reader ranges of
+a file that lies on a mounted file system, without loading the rest.
 
 Of pages with equal payloads (at least ``min_bytes`` long) the one with the
 smallest id is a response record with the payload, others are revisit records.
-Equal payloads are found by SHA-1 with a map-side minimum; giving it back to the
-pages is an equi-join, which adaptive execution splits where one payload is hot.
+Equal payloads are found by SHA-256 with map-side minima.  Only slim rows are joined
+with them; payloads themselves are shuffled once, copies combined before that, as
+records that revisit another need none.
 
 Defined results: null html counts as empty; null ids come last, so they are
 responses only where a group has no other; of repeated rows (one id, one payload)
-one is the response and the others revisit it; empty tables give no rows; other
-columns are ignored.
+one is the response and the others revisit it; null urls count as unknown, and
+characters that would break a header are percent-encoded; empty tables give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .common import checkpoint
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
 #: Payload bytes after which a new archive begins.
@@ -42,19 +50,25 @@ ARCHIVE_BYTES = 8 << 20
 DATE = "2020-01-01T00:00:00Z"
 _END, _END64, _LOCATOR, _ENTRY, _LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
+_PLAIN = "".join(map(chr, range(33, 127)))
 
 
-def warc_record(kind: str, page: str, uri: str, digest: str, size: int, payload: bytes, refers_to: str | None) -> bytes:
+def warc_record(kind: str, page: str, uri: str, digest: str, size: int, payload: bytes, refers_to: str | None, copy: int = 0) -> bytes:
     """One WARC/1.1 record; the page id and the full payload's size travel in extension headers."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page}:{digest}:{kind}")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page: {page}", f"X-Payload-Length: {size}"]
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page}:{digest}:{kind}:{copy}:{header_uri(uri)}")
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {header_uri(uri)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page: {page}", f"X-Payload-Length: {size}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def header_uri(uri: str) -> str:
+    """``uri`` for a header line: control characters, spaces and all beyond ASCII percent-encoded; what is encoded already stays."""
+    return quote(uri, safe=_PLAIN, errors="replace")
+
+
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     """(headers by lower-case name, payload) of one record."""
     head, _, rest = record.partition(b"\r\n\r\n")
@@ -97,6 +111,16 @@ def zip_stored(members: list[tuple[str, bytes]], force64: bool = False) -> bytes
 Reader = Callable[[int, int], bytes]
 
 
+def file_reader(path: str) -> tuple[Reader, int]:
+    """(range reader, size) of a file, for ``archive_records``; each range is one positioned read."""
+    handle = os.open(path, os.O_RDONLY)
+
+    def read(at: int, n: int) -> bytes:
+        return os.pread(handle, n, at)
+
+    return read, os.fstat(handle).st_size
+
+
 def zip_members(read: Reader, size: int) -> dict[str, tuple[int, int, int, int]]:
     """Name to (first data byte, size, method, crc) of every member, from range reads alone."""
     span = min(size, 22 + _MAX16)
@@ -170,43 +194,51 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page, copies, url, html, sha, shared, first, holds): distinct (page, url, payload) rows with the page that holds the payload."""
+    """(page, url, digest, size, rows, shared, first, html): distinct (page, url, payload) rows, how often each occurs, and the page that holds the payload.
+
+    ``html`` is null where all of a row's records are revisits.  Payloads move in one
+    exchange, each distinct one once from every scan task; all else is slim rows.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
-    counts = rows.groupBy("page", "sha").agg(F.count(F.lit(1)).alias("copies"))
-    # null ids last: (is null, id) is least for the smallest id
-    first = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("first"))
-    plan = counts.join(first, "sha", "left").select(F.col("page").alias("p"), F.col("sha").alias("s"), "copies", F.col("first").isNotNull().alias("shared"), F.col("first.page").alias("first"))
-    # the payloads move once; only rows that repeat an id and payload are grouped, each url by itself
-    placed = rows.join(plan, F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s"))).select("page", "copies", "url", "html", "sha", "shared", "first")
-    again = placed.where("copies > 1").groupBy("page", "url", "sha", "shared", "first").agg(F.count(F.lit(1)).alias("copies"), F.first("html").alias("html"))
-    leads = F.row_number().over(W.partitionBy("page", "sha").orderBy("url")) == 1
-    rows = placed.where("copies = 1").withColumn("leads", F.lit(True)).unionByName(again.withColumn("leads", leads))
-    return rows.withColumn("holds", F.col("leads") & F.col("page").eqNullSafe(F.col("first"))).drop("leads")
+    raw = html.cast("binary")
+    short = F.when(F.octet_length(raw) < min_bytes, html)  # under min_bytes: travels with its row
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.sha2(raw, 256).alias("payload"), F.sha1(raw).alias("digest"), F.octet_length(raw).cast("long").alias("size"), short.alias("short"))
+    rows = checkpoint(rows.groupBy("page", "url", "payload", "digest", "size", "short").agg(F.count(F.lit(1)).alias("rows")), "page-rows")
+    # null ids last: (is null, id) is least for the smallest id; urls settle repeats of an id
+    rank = F.struct(F.col("page").isNull().alias("none"), "page", F.col("url").isNull().alias("unknown"), "url")
+    first = rows.where(F.col("size") >= min_bytes).groupBy("payload").agg(F.min(rank).alias("first"))
+    planned = rows.join(first, "payload", "left").select(*rows.columns, "first", F.col("first").eqNullSafe(rank).alias("holds"))
+    held = pages.select(F.sha2(raw, 256).alias("payload"), html.alias("html")).where(F.octet_length("html") >= min_bytes).groupBy("payload").agg(F.first("html").alias("html"))
+    shape = ["page", "url", "digest", "size", "rows", F.col("first").isNotNull().alias("shared"), F.col("first.page").alias("first")]
+    leads = planned.where("holds").join(held, "payload").select(*shape, "html")
+    others = planned.where("not holds").select(*shape, F.col("short").alias("html"))
+    return leads.unionByName(others)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
     """Archives of all rows of ``pages`` as a Parquet table (archive, content) at ``path``."""
 
+    def packed(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        content = build_archive(held)
+        return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest()]), pa.array([content], pa.binary())], ["archive", "content"])
+
     def pack(batches):
         held, size = [], 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page", "copies", "url", "html", "shared", "first", "holds")]
-            for page, copies, url, html, shared, first, holds in zip(*columns):
-                payload = html.encode()
-                digest, label = base32_sha1(payload), "-" if page is None else str(page)
-                for copy in range(copies):
-                    response = not shared or (holds and copy == 0)
-                    record = warc_record("response" if response else "revisit", label, url or "urn:unknown", digest, len(payload), payload if response else b"", "-" if first is None else str(first))
+            columns = [batch.column(c).to_pylist() for c in ("page", "url", "digest", "size", "rows", "shared", "first", "html")]
+            for page, url, digest, length, rows, shared, first, html in zip(*columns):
+                digest = base64.b32encode(bytes.fromhex(digest)).decode()
+                label, payload = "-" if page is None else str(page), None if html is None else html.encode()
+                for copy in range(rows):
+                    response = not shared or (payload is not None and copy == 0)
+                    record = warc_record("response" if response else "revisit", label, url or "urn:unknown", digest, length, payload if response else b"", "-" if first is None else str(first), copy)
                     held.append((label, record))
                     size += len(record)
                     if size >= ARCHIVE_BYTES:
-                        content = build_archive(held)
-                        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest()]), pa.array([content], pa.binary())], ["archive", "content"])
+                        yield packed(held)
                         held, size = [], 0
         if held:
-            content = build_archive(held)
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest()]), pa.array([content], pa.binary())], ["archive", "content"])
+            yield packed(held)
 
     planned = plan_records(pages, id_col, url_col, html_col, min_bytes)
     planned.mapInArrow(pack, "archive string, content binary").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
