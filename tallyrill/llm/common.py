@@ -1,4 +1,4 @@
-"""Shared helpers: corpus size, packed column blocks, rolling hashes, word hashes.
+"""Shared helpers: tables in the shared folder, salted joins, packed column blocks, rolling hashes, word hashes.
 
 The Python stages of these operators exchange *packed blocks*: numpy columns
 compressed into one binary value.  A shuffle then moves a few large records
@@ -28,13 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder.
+    """A fresh path under the shared checkpoint folder, in a folder of this application; see ``clear``.
 
-    That is the one the cluster names in ``spark.checkpoint.dir``; only where it is
-    unset (tests) a temporary one is made.
+    That is the one the cluster names in ``spark.checkpoint.dir``.  Only a local master
+    (tests) may leave it unset; a temporary one is made then.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{where.rstrip('/')}/tallyrill/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = _own_folder()
+    return f"{where.rstrip('/')}/tallyrill/{spark.sparkContext.applicationId}"
 
 
 @lru_cache(maxsize=1)
@@ -44,6 +52,16 @@ def _own_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='checkpoints')}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application has written in the shared folder; results not yet read go with them."""
+    _delete(spark, _session_folder(spark))
+
+
 def checkpoint(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written as a table in the shared folder and read again, its lineage cut.
 
@@ -58,9 +76,27 @@ def checkpoint(df: DataFrame, name: str = "step") -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove a written table that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+#: A key with more than one in so many of all rows is salted.
+HOT_KEYS = 1024
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Equi-join of ``rows`` with ``keyed``, which has one row a key and, as ``n``, the number of ``rows`` with it.
+
+    Hot keys' rows are dealt over several tasks by the columns ``by``, and their row of
+    ``keyed`` is repeated once for each.  Fewer than HOT_KEYS keys can be hot, as their
+    rows add up to ``total`` at most, so the list of them is broadcast.
+    """
+    share = max(1, total // HOT_KEYS)
+    salts = F.ceil(F.col("n") / share).cast("int")
+    hot = keyed.where(F.col("n") > share).select(*keys, salts.alias("_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.when(F.col("n") > share, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(keyed.withColumn("_salt", F.explode(every)), [*keys, "_salt"], how).drop("_salt")
 
 
 def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
