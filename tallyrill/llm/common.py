@@ -1,4 +1,4 @@
-"""Shared helpers: tables in the shared folder, salted joins, packed column blocks, rolling hashes, word hashes.
+"""Shared helpers: tables in the shared folder, salted joins, packed column blocks, hashes.
 
 The Python stages of these operators exchange *packed blocks*: numpy columns
 compressed into one binary value.  A shuffle then moves a few large records
@@ -7,6 +7,7 @@ instead of one row per suffix or signature.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 import uuid
@@ -180,14 +181,69 @@ def slice_hash(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
     return mix((h[stop] - h[start]) * down[start] + (stop - start).astype(U))
 
 
+#: The prime modulus and the base of the hash that decides whether strings are equal.
+P61 = (1 << 61) - 1
+_BASE61 = int.from_bytes(hashlib.sha256(b"words and stretches").digest()[:8], "little") % P61
+_P = U(P61)
+
+
+def _mod61(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo the prime."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def multiply61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, by halves of 31 bits: 2**61 is 1 there."""
+    a1, a0, b1, b0 = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    middle = a1 * b0 + a0 * b1
+    return _mod61((a1 * b1 << U(1)) + (middle >> U(30)) + ((middle & U(0x3FFFFFFF)) << U(31)) + a0 * b0)
+
+
+def powers61(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse, modulo the prime."""
+    if len(_powers.get("up61", ())) <= n:
+        for name, base in (("up61", _BASE61), ("down61", pow(_BASE61, -1, P61))):
+            p = np.ones(1, U)
+            while len(p) <= max(n, 1 << 16):
+                p = np.concatenate([p, multiply61(p, U(pow(base, len(p), P61)))])
+            _powers[name] = p
+    return _powers["up61"], _powers["down61"]
+
+
+def prefix61(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of (byte + 1) * base**place, by the powers' low and high 32 bits; exact for up to 2**22 bytes."""
+    if len(data) > 1 << 22:
+        raise ValueError("too many bytes at once")
+    up, _ = powers61(len(data) + 1)
+    c = data.astype(U) + U(1)
+    low, high = np.zeros(len(data) + 1, U), np.zeros(len(data) + 1, U)
+    np.cumsum(c * (up[: len(data)] & U(0xFFFFFFFF)), out=low[1:])
+    np.cumsum(c * (up[: len(data)] >> U(32)), out=high[1:])
+    return low, high
+
+
+def slice61(h: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Scrambled polynomials, modulo the prime, of data[start:stop], which depend on content only.
+
+    Two strings of up to n bytes have one value for at most n of the 2**61 bases.
+    """
+    _, down = powers61(len(h[0]))
+    low, high = _mod61(h[0][stop] - h[0][start]), _mod61(h[1][stop] - h[1][start])
+    turned = ((high << U(32)) & _P) | (high >> U(29))  # times 2**32
+    return mix(multiply61(_mod61(low + turned), down[start]))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Longer words are hashed one by one by a library's digest.
+LONG_WORD = 1 << 16
 
 
 def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words in each text); A-Z count as a-z.
+    """(64-bit hash of each word, words in each text); A-Z count as a-z.
 
     Words are runs of bytes outside ``space``; they never cross texts.
     """
@@ -196,10 +252,21 @@ def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndar
     gap = space[data]
     edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1, append=1))
     start, stop = edge[0::2], edge[1::2]
-    if len(edge) % 2:
-        start, stop = edge[:-1:2], edge[1::2]
-    hashes = slice_hash(prefix_hash(data), start, stop)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
     upto = np.searchsorted(start, ends, "left")
+    size = stop - start
+    long = np.flatnonzero(size > LONG_WORD)
+    digests = [int.from_bytes(hashlib.blake2b(data[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little") for k in long]
+    if len(long):  # they are cut out of the data
+        keep = np.ones(len(data), bool)
+        for k in long:
+            keep[start[k] : stop[k]] = False
+        data = data[keep]
+        size[long] = 0
+        before = np.zeros(len(start), np.int64)
+        before[long] = stop[long] - start[long]
+        start = start - (np.cumsum(before) - before)
+        stop = start + size
+    hashes = slice61(prefix61(data), start, stop)
+    hashes[long] = np.array(digests, U)
     return hashes, np.diff(upto, prepend=0)
-

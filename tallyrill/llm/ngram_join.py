@@ -22,11 +22,17 @@ Candidates.  Equal signatures within a task are linked as a star and only the st
 centre travels on; packed buckets then link what is left.  Connected components of
 those stars (a superset of the links) give candidate clusters.
 
-Verification.  Every pair of classes within a cluster is compared exactly, on the
-sets themselves: frequent shingles by matrix products, rare ones by postings.  A
-cluster of more than CHUNK classes is compared chunk against chunk in separate
-tasks, so no task holds more than two chunks.  Small clusters share tasks.  Pairs
-are never emitted: a task returns link counts and a spanning star per component.
+Verification.  Every pair of classes within a cluster is compared on the sets
+themselves: frequent shingles by matrix products, rare ones by postings.  A larger
+cluster is compared chunk against chunk in separate tasks, so no task holds more
+than two chunks, which are bounded in classes and in bytes.  Small clusters share
+tasks, whose number follows from the clusters' bytes.  Pairs are never emitted: a
+task returns link counts and a spanning star per component.  Link counts need all
+pairs of a cluster, so this work grows with the square of a cluster.
+
+Words and shingles are compared as 64-bit codes: a word's is a polynomial modulo the
+prime 2**61 - 1 (a digest for a very long word), which two words of n bytes share for
+at most n of the 2**61 bases.  A class is named by two such codes.
 
 The texts of the sets that pass pruning are written as a table once; signatures and
 verification read that table.
@@ -47,10 +53,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, block_count, checkpoint, mix, pack, text_size, unpack, unpack_all, word_hashes
+from .common import U, block_count, checkpoint, discard, mix, pack, salted_join, text_size, unpack, unpack_all, word_hashes
 from .components import components
 
-CHUNK = 2048
+#: Classes in a chunk: so many times the root of their cluster's number, within these bounds, ...
+CHUNK = (3, 128, 2048)
+#: ... and at most so many bytes of shingles; also the bytes and classes of a task of small clusters.
+CHUNK_BYTES, TASK_BYTES, TASK_CLASSES = 4 << 20, 8 << 20, 512
 #: A shingle in more than one member in DENSE of a cluster is compared by matrix product.
 DENSE = 16
 BAND = 1.5
@@ -397,8 +406,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows, named = _named_classes(docs, id_col, text_col, words, percent)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    full = checkpoint(named.join(least, "component").select("c1", "c2", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    out = rows.where("size > 0").join(full, ["c1", "c2"]).select("id", F.col("size").alias("n_shingles"), "component_id", "n_links")
+    full = named.join(least, "component").select("c1", "c2", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("members").alias("n"))
+    full = checkpoint(full, "named-classes")
+    out = salted_join(rows.where("size > 0"), full, ["c1", "c2"], ["id"], rows.count()).select("id", F.col("size").alias("n_shingles"), "component_id", "n_links")
     empty = rows.where("size = 0").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(empty).withColumnRenamed("id", id_col)
 
@@ -477,15 +487,20 @@ def _verified(kept: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Link
     holders = wanted.select(F.coalesce("least", F.lit(-1)).alias("id"), F.col("least").isNull().alias("none")).distinct()
     texts = _of_ids(kept, holders).select("text")
     sets = texts.mapInArrow(fetch, "c1 long, c2 long, shingles binary").groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
-    sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = wanted.join(sets, ["c1", "c2"]).join(sizes.where("n > 1"), "component")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("c2", "c1"), F.col("chunks")).cast("int")
-    members = members.withColumn("chunks", chunks).withColumn("own", own)
+    sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("size")).alias("bytes")).where("n > 1")
+    step, least, most = CHUNK
+    chunk = F.greatest(F.lit(least), F.least(F.lit(most), step * F.sqrt("n")))
+    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
+    sizes = checkpoint(sizes.withColumn("chunks", chunks), "clusters")
+    small = sizes.where("chunks = 1").agg(F.sum("bytes"), F.sum("n")).first()
+    tasks = max(1, -(-(small[0] or 0) // TASK_BYTES), -(-(small[1] or 0) // TASK_CLASSES))
+    total = wanted.count()
+    members = salted_join(wanted.join(sets, ["c1", "c2"]), sizes, ["component"], ["c1", "c2"], total)
+    members = members.withColumn("own", F.pmod(F.xxhash64("c2", "c1"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # small clusters share a task by hash; a large one has a task for each pair of chunks
-    task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(4096))).otherwise(F.xxhash64("component", low, high))
+    task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", low, high))
     members = members.select(task.alias("task"), "component", low.alias("low"), high.alias("high"), "own", "c1", "c2", "members", "shingles")
 
     def verify(key, table):

@@ -98,7 +98,7 @@ def test_op2(docs, odd, none, words, percent):
 
 
 def test_op2_near_copies_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK", 7)
+    monkeypatch.setattr(ngram_join, "CHUNK", (1, 1, 7))
     rnd = random.Random(3)
     base = [f"w{k}" for k in range(120)]
     rows = []
