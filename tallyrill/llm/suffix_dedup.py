@@ -26,11 +26,17 @@ starts with the same token and nothing is missed.
 4. Marked windows return to their rows' blocks.
 
 Memory is bounded by blocks and buckets, whose sizes follow from the corpus
-size alone.  Long rows are cut into overlapping pieces.  Codes are 64 + 64 bits.
+size alone.  Long rows are cut into overlapping pieces.  A stretch is compared by its
+token's code, its token's offset and its bytes' polynomial modulo the prime 2**61 - 1;
+windows are compared by their bytes.
+
+Rows are dealt to blocks by id and text, so that rows of one id (null ids, say) do not
+fill one block.
 
 Defined results: null text counts as empty; null ids order before all others
 and are returned as null; rows with one id (repeated rows) each give a row and
-are ordered by text; empty tables give no rows; other columns are ignored.
+are ordered by a hash of their text, then by text; empty tables give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,13 +48,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, block_count, mix, pack, prefix_hash, slice_hash, text_size, unpack_all
+from .common import U, block_count, mix, pack, prefix61, prefix_hash, slice61, slice_hash, text_size, unpack_all
 
 #: A piece of this many bytes is hashed at once.
 PIECE = 1 << 18
 #: A token with more different stretches than this has its windows spread by content.
 HOT = 2048
-#: Rows of one in so many are read for splitters, and so many splitters are kept for each bucket.
+#: Rows of one in so many are read for splitters, and about so many of their suffixes are kept for each bucket.
 SAMPLE, PER_BUCKET = 61, 24
 
 
@@ -93,7 +99,7 @@ def _stretches(batch, length, token):
     keep = anchor[first] >= 0
     first, last = first[keep], last[keep]
     anchor, piece = anchor[first], piece[first]
-    stretch = slice_hash(h, first, last + length) ^ mix((anchor - first).astype(U))
+    stretch = slice61(prefix61(data), first, last + length) ^ mix((anchor - first).astype(U))
     shift = np.array([at for _, at, _ in batch], np.int64) - (ends - sizes)
     row = np.array([k for k, _, _ in batch], np.int64)[piece]
     return codes[anchor], stretch, row, anchor + shift[piece], first + shift[piece], last - first + 1
@@ -126,7 +132,10 @@ def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def earliest(run: np.ndarray, ids, rows, places) -> np.ndarray:
-    """Of each run number the member that is earliest by (id, row, place): True there."""
+    """Of each run number the member that is earliest by (id, row, place): True there.
+
+    ``rows`` that come from several blocks are numbered by (block, row in it).
+    """
     order = np.lexsort((places, rows, ids, run))
     out = np.zeros(len(run), bool)
     head = np.ones(len(run), bool)
@@ -172,8 +181,9 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = block_count(total)
     # suffixes at token starts come to about a third of the text's bytes
     buckets = n
-    splits = _splitters(source, length, token, buckets)
-    blocks = source.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(n)).cast("int"))
+    splits = _splitters(source, length, token, buckets, total)
+    blocks = source.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(n)).cast("int"))
+    count = np.min_scalar_type(length - token + 1)  # of a stretch's windows, and of a token's offset
     hot_tokens = np.unique(splits[:, 0]) if len(splits) else np.empty(0, U)
 
     def suffixes(key, table):
@@ -194,9 +204,9 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for s in np.split(order, cuts):
             b = int(where[s[0]])
             if b < 0:
-                out_d.append(pack(row[s].astype(np.uint32), first[s].astype(np.int64), many[s].astype(np.uint8)))
+                out_d.append(pack(row[s].astype(np.uint32), first[s].astype(np.int64), many[s].astype(count)))
             else:
-                out_d.append(pack(tok[s], code[s], ids[row[s]], np.diff(row[s], prepend=0).astype(np.int32), np.diff(first[s], prepend=0).astype(np.int64), (at[s] - first[s]).astype(np.uint8), many[s].astype(np.uint8)))
+                out_d.append(pack(tok[s], code[s], ids[row[s]], np.diff(row[s], prepend=0).astype(np.int32), np.diff(first[s], prepend=0).astype(np.int64), (at[s] - first[s]).astype(count), many[s].astype(count)))
             out_b.append(b)
         return _out(bucket=out_b, block=[key[0].as_py()] * len(out_b), data=out_d)
 
@@ -214,7 +224,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         order, new = multikey_order([tok, code])
         run = np.empty(len(order), np.int64)
         run[order] = np.cumsum(new)
-        head = earliest(run, ids, row, first)
+        head = earliest(run, ids, block.astype(np.int64) << 32 | row, first)
         tokens, which, _ = np.unique(tok, return_inverse=True, return_counts=True)
         variants = np.bincount(which[head], minlength=len(tokens))
         crosses = np.isin(tokens, hot_tokens)
@@ -268,7 +278,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 size = many[s] + length - 1
                 place = np.repeat(base[row[s]] + first[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 out_b.append(int(where[s[0]]))
-                out_d.append(pack(ids[row[s]], row[s].astype(np.uint32), first[s], many[s].astype(np.uint8), text[place]))
+                out_d.append(pack(ids[row[s]], row[s].astype(np.uint32), first[s], many[s].astype(count), text[place]))
         row, start, stop = (np.concatenate(x) for x in zip(*done))
         if len(row):
             out_b.append(-1 - block)
@@ -299,7 +309,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         run = np.empty(len(order), np.int64)
         run[order] = np.cumsum(new)
         start = first[which] + inner
-        head = earliest(run, ids[which], row[which], start)
+        head = earliest(run, ids[which], (block << 32 | row)[which], start)
         again = np.flatnonzero(~head)
         out_b, out_d = [], []
         if len(again):
@@ -378,9 +388,15 @@ def _words(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.stack([rolled[at + s] for s in steps], axis=1) if len(at) else np.zeros((0, len(steps)), U)
 
 
-def _splitters(source: DataFrame, length: int, token: int, buckets: int) -> np.ndarray:
-    """buckets - 1 (token, stretch) splitters from the suffixes of one row in SAMPLE; at most PER_BUCKET * buckets reach the driver."""
-    most = PER_BUCKET * buckets
+def _splitters(source: DataFrame, length: int, token: int, buckets: int, total: int) -> np.ndarray:
+    """buckets - 1 (token, stretch) splitters from the suffixes of one row in SAMPLE.
+
+    Of those suffixes the distinct ones with a hash below a bound come to the driver.
+    The bound follows from the bytes of the corpus and the number wanted, PER_BUCKET for
+    each bucket: a token starts about every (length - token + 2) / 2 bytes.
+    """
+    expected = total / SAMPLE * 2 / (length - token + 2)
+    bound = min((1 << 64) - 1, int(PER_BUCKET * buckets / max(expected, 1.0) * (1 << 64)))
 
     def sample(batches):
         for batch in batches:
@@ -388,11 +404,11 @@ def _splitters(source: DataFrame, length: int, token: int, buckets: int) -> np.n
             parts = list(stretches(rows, length, token))
             if parts:
                 tok, code = (np.concatenate(x) for x in list(zip(*parts))[:2])
-                rank = mix(code ^ tok)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (rank, tok, code)], ["rank", "tok", "code"])
+                low = mix(code ^ tok) <= U(bound)
+                yield pa.RecordBatch.from_arrays([pa.array(x[low].view(np.int64)) for x in (tok, code)], ["tok", "code"])
 
-    picked = source.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    found = picked.mapInArrow(sample, "rank long, tok long, code long").orderBy("rank", "tok", "code").limit(most).collect()
+    picked = source.where(F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(SAMPLE)) == 0)
+    found = picked.mapInArrow(sample, "tok long, code long").distinct().collect()
     pairs = np.array(sorted((int(r.tok) % (1 << 64), int(r.code) % (1 << 64)) for r in found), U).reshape(-1, 2)
     if len(pairs) < buckets:  # too few rows to sample: tokens are spread evenly
         even = np.arange(1, buckets, dtype=U) * U((1 << 64) // buckets)

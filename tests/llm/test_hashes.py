@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tallyrill.llm import common, ngram_join
+from tallyrill.llm import common, ngram_join, suffix_dedup
 
 
 def thue_morse(steps, a, b):
@@ -50,3 +50,4 @@ def test_thue_morse_slices_differ():
     start, stop = np.array([0]), np.array([2048])
     assert common.slice_hash(common.prefix_hash(one), start, stop) == common.slice_hash(common.prefix_hash(two), start, stop)  # why it does not decide
     assert common.slice61(common.prefix61(one), start, stop) != common.slice61(common.prefix61(two), start, stop)
+    assert suffix_dedup.slice61 is common.slice61

@@ -37,6 +37,7 @@ def none(spark):
 
 
 def covered(rows, length):
+    """Brute force; rows of one id must not share strings unless their texts are equal, as their order is by a hash."""
     seen, out = set(), []
     for doc, text in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
         data = (text or "").encode()
@@ -64,6 +65,30 @@ def test_op1(docs, odd, none, hot, monkeypatch):
         assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("length, token", [(400, 32), (300, 1), (33, 32), (20, 20), (6, 3)])
+def test_op1_lengths(spark, docs, length, token):
+    rnd = random.Random(length)
+    passages = [bytes(rnd.choices(b"abcdefghij ", k=700)).decode() for _ in range(3)]
+    rows = [(k, "x".join(bytes(rnd.choices(b"abc ", k=rnd.randrange(60))).decode() + p[rnd.randrange(100) :] for p in rnd.choices(passages, k=2))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text").limit(15))
+    got = suffix_dedup.repeated_substrings(df, length=length, token=token).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=repr) == covered(pairs(df), length)
+
+
+def test_op1_one_id(spark):
+    """Rows without an id, or of one id, fill several blocks and leave each string once."""
+    rnd = random.Random(6)
+    passage = bytes(rnd.choices(b"abcdefghij ", k=300)).decode()
+    rows = [(None if k % 2 else 7, f"{rnd.random()}" + passage[: rnd.randrange(100, 300)]) for k in range(60)]
+    got = suffix_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).collect()
+    kept = b"|".join(bytes(r.kept) for r in got)
+    strings = {t.encode()[k : k + 100] for _, t in rows for k in range(len(t) - 99)}
+    whole = sum(len(t) for _, t in rows)
+    assert sum(r.n_removed for r in got) + len(kept) - 59 == whole and len(got) == 60
+    again = suffix_dedup.repeated_substrings(spark.createDataFrame([(1, "|".join(bytes(r.kept).decode() for r in got))], "doc_id long, text string")).first()
+    assert again.n_removed == 0 and strings  # nothing is left twice
+
+
 def linked(rows, words, percent):
     sets = []
     for _, text in rows:
