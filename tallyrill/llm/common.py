@@ -100,6 +100,14 @@ def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: list[str
     return dealt.join(keyed.withColumn("_salt", F.explode(every)), [*keys, "_salt"], how).drop("_salt")
 
 
+def least_hashed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of least hash of ``key`` (all, if fewer); only about that many are ordered, however many there are."""
+    count = rows.count()
+    if count > 2 * most:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(2 * most / count * (1 << 40)))
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(most)
+
+
 def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text: one aggregate row, whatever the corpus size."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text)))).first()

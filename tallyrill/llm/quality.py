@@ -7,32 +7,32 @@
    host's; how strongly follows from the spread between sites (method of moments),
    so a sparse site stays near its prior.
 3. A document's posterior odds are its own odds times the odds of its path against
-   the global odds, the latter bounded: a site can tip a doubtful document, never a
-   clear one.  Documents under ``threshold`` are rejected.
+   the global odds.  Its own evidence is left out of its site's sums, so that it
+   counts once.  Documents under ``threshold`` are rejected.
 
+Texts are read once: evidence is written as a table, and sites are summed from that.
 Site sums cover all documents, combined map-side; they are rejoined by an equi-join
-on (host, path), which is broadcast or split by adaptive execution as its size is.
-
-Defined results: null text counts as empty and is rejected like any empty text;
-null hosts and paths form groups of their own; null ids and repeated rows give
-separate rows; with no usable labels the classifier's evidence is a fixed default;
-labels that are null or contradict another row of their id are left out; empty
-tables give no rows; other columns pass through ``good_documents``.
+on (host, path) that salts hot sites.
+
+Defined results: null text counts as empty, which the classifier scores like any text; null hosts and paths form groups of
+their own; null ids and repeated rows give separate rows; with no usable labels, or
+labels of one class, every text's evidence is one fixed value above ``threshold``'s
+default, so nothing is rejected; labels that are null or contradict another row of
+their id are left out; empty tables give no rows; other columns, whatever their
+names, pass through ``good_documents``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import checkpoint, least_hashed, salted_join
+
 FEATURES = ("short", "repeat", "neighbour", "upper", "symbol", "digit", "pipe", "stop", "long", "lines", "bang", "vowel")
-#: The most that a site's rate moves a document's log-odds.
-SITE_BOUND = 1.0
 _UPPER = {c for c in range(65, 91)}
 _SYMBOL = bytes(b for b in b"#$%&*+/<=>@[\\]^_`{|}~")
 _KEEP_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     if exclude is not None:
         known = known.where(~exclude)
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
-    picked = [(r.id, r.y) for r in known.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("id", "y").collect()]
+    picked = [(r.id, r.y) for r in least_hashed(known, "id", fit_rows).select("id", "y").collect()]
     width = 1 + 3 * len(FEATURES)
     start = np.zeros(width)
     start[0] = 2.0
@@ -119,29 +119,42 @@ def evidence(weights: np.ndarray):
     return pandas_udf(good, "double")
 
 
-def _concentration(mean: Column, between: Column) -> Column:
+def host_of(url: Column) -> Column:
+    """The lower-case host of a URL; null without one."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host != "", host)
+
+
+def path_of(url: Column) -> Column:
+    """The first part of a URL's path, from its slash on; null without one."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)", 1)
+    return F.when(path != "", path)
+
+
+def _concentration(mean: float, between: float) -> float:
     """Prior strength of a Beta law with this mean and variance, from 1 to 1e6."""
-    raw = mean * (1 - mean) / F.greatest(between, F.lit(1e-9)) - 1
-    return F.greatest(F.lit(1.0), F.least(F.lit(1e6), raw))
+    return max(1.0, min(1e6, mean * (1 - mean) / max(between, 1e-9) - 1))
 
 
-def site_rates(scored: DataFrame) -> DataFrame:
-    """(host_key, path_key, global_rate, host_rate, path_rate) from rows (host_key, path_key, p)."""
-    paths = scored.groupBy("host_key", "path_key").agg(F.sum("p").alias("ps"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.count(F.lit(1)).alias("pn"))
-    hosts = paths.groupBy("host_key").agg(F.sum("ps").alias("hs"), F.sum("pp").alias("hh"), F.sum("pn").alias("hn"))
+def _spread(sites: DataFrame, s: str, q: str, n: str) -> tuple[float, float, int, int]:
+    """(mean, prior strength, documents, sites) of rows with sums s, sums of squares q and numbers n: one row to the driver."""
+    rate = F.col(s) / F.col(n)
+    within = F.greatest(F.col(q) / F.col(n) - rate * rate, F.lit(0.0))
+    got = sites.agg(F.sum(s).alias("s"), F.sum(n).alias("n"), F.sum(F.col(n) * rate * rate).alias("r2"), F.sum(within).alias("noise"), F.count(F.lit(1)).alias("sites")).first()
+    if not got.n:
+        return 0.5, 1.0, 0, 0
+    mean = got.s / got.n
+    return mean, _concentration(mean, got.r2 / got.n - mean * mean - got.noise / got.n), got.n, got.sites
 
-    def spread(sites: DataFrame, s: str, q: str, n: str, prefix: str) -> DataFrame:
-        rate = F.col(s) / F.col(n)
-        within = F.greatest(F.col(q) / F.col(n) - rate * rate, F.lit(0.0))
-        total = sites.agg(F.sum(s).alias("s"), F.sum(n).alias("n"), F.sum(F.col(n) * rate * rate).alias("r2"), F.sum(within).alias("noise"), F.count(F.lit(1)).alias("sites"))
-        mean = F.col("s") / F.col("n")
-        between = F.col("r2") / F.col("n") - mean * mean - F.col("noise") / F.col("n")
-        return total.select(mean.alias(f"{prefix}_mean"), _concentration(mean, between).alias(f"{prefix}_k"))
 
-    top = spread(hosts, "hs", "hh", "hn", "host").crossJoin(spread(paths, "ps", "pp", "pn", "path"))  # one row each
-    rates = hosts.crossJoin(F.broadcast(top)).select("host_key", F.col("host_mean").alias("global_rate"), ((F.col("hs") + F.col("host_k") * F.col("host_mean")) / (F.col("hn") + F.col("host_k"))).alias("host_rate"), "path_k")
-    out = paths.join(rates, "host_key")
-    return out.select("host_key", "path_key", "global_rate", "host_rate", ((F.col("ps") + F.col("path_k") * F.col("host_rate")) / (F.col("pn") + F.col("path_k"))).alias("path_rate"))
+def site_sums(scored: DataFrame) -> tuple[DataFrame, dict]:
+    """(rows host_key, path_key, ps, n, hs, hn: sums and numbers of evidence by path and by host; global rate, prior strengths, documents) of rows (host_key, path_key, p)."""
+    paths = checkpoint(scored.groupBy("host_key", "path_key").agg(F.sum("p").alias("ps"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.count(F.lit(1)).alias("n")), "paths")
+    hosts = checkpoint(paths.groupBy("host_key").agg(F.sum("ps").alias("hs"), F.sum("pp").alias("hh"), F.sum("n").alias("hn"), F.count(F.lit(1)).alias("n")), "hosts")
+    rate, host_k, documents, _ = _spread(hosts, "hs", "hh", "hn")
+    _, path_k, _, sites = _spread(paths, "ps", "pp", "n")
+    both = salted_join(paths.withColumnRenamed("n", "pn"), hosts.drop("hh"), ["host_key"], ["path_key"], sites)
+    return both.select("host_key", "path_key", "ps", F.col("pn").alias("n"), "hs", "hn"), {"rate": rate, "host_k": host_k, "path_k": path_k, "documents": documents}
 
 
 def _logit(p: Column) -> Column:
@@ -149,22 +162,32 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", host_col: str = "source", path_col: str = "lang", fit_rows: int = 20_000, threshold: float = 0.5, exclude: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, evidence, host_rate, path_rate, score, good, and each column of ``keep`` as ``_keep_<name>``.
+def posterior(scored: DataFrame) -> DataFrame:
+    """``scored`` (host_key, path_key, p, ...) with host_rate, path_rate and score; a row's own p is left out of its rates."""
+    sites, prior = site_sums(scored)
+    p, rate = F.col("p"), F.lit(prior["rate"])
+    host = (F.col("hs") - p + prior["host_k"] * rate) / (F.col("hn") - 1 + prior["host_k"])
+    path = (F.col("ps") - p + prior["path_k"] * F.col("host_rate")) / (F.col("n") - 1 + prior["path_k"])
+    found = salted_join(scored, sites, ["host_key", "path_key"], ["p"], prior["documents"])
+    found = found.withColumn("host_rate", host).withColumn("path_rate", path)
+    odds = _logit(p) + _logit(F.col("path_rate")) - _logit(rate)
+    return found.withColumn("score", 1 / (1 + F.exp(-odds))).drop("ps", "hs", "hn", "n")
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", host: str | Column = "source", path: str | Column = "lang", fit_rows: int = 20_000, threshold: float = 0.5, exclude: Column | None = None, keep: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, evidence, host_rate, path_rate, score, good; with ``keep`` also ``row``, the whole row.
 
+    ``host`` and ``path`` are columns, such as ``host_of`` and ``path_of`` a URL.
     ``exclude`` is a predicate on ``id`` of labelled rows that the fit must not see.
     """
     good = evidence(fit(docs, labels, id_col, text_col, label_col, fit_rows, exclude))
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sites = site_rates(docs.select(key(host_col).alias("host_key"), key(path_col).alias("path_key"), good(text).alias("p")))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), key(host_col).alias("host_key"), key(path_col).alias("path_key"), good(text).alias("p"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    shift = _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
-    odds = _logit(F.col("p")) + F.greatest(F.lit(-SITE_BOUND), F.least(F.lit(SITE_BOUND), shift))
-    out = rows.join(sites, ["host_key", "path_key"]).withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.select(F.col("_id").alias(id_col), F.col("p").alias("evidence"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("good"), *[f"_keep_{c}" for c in keep])
+    key = lambda c: F.coalesce(F.concat(F.lit("="), (F.col(c) if isinstance(c, str) else c).cast("string")), F.lit(""))
+    whole = [F.struct("*").alias("row")] if keep else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key(host).alias("host_key"), key(path).alias("path_key"), good(F.coalesce(F.col(text_col), F.lit(""))).alias("p"), *whole)
+    out = posterior(checkpoint(rows, "evidence"))
+    return out.select(F.col("id").alias(id_col), F.col("p").alias("evidence"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("good"), *["row"] * keep)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
-    return score(docs, labels, id_col, text_col, keep=tuple(docs.columns), **options).where("good").select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    return score(docs, labels, id_col, text_col, keep=True, **options).where("good").select("row.*")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import checkpoint
+from .common import checkpoint, least_hashed
 from .ngram_join import shingle_sets
 
 #: Bytes A-Z as a-z; other ASCII than letters is a gap, bytes from 128 belong to words.
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
     # the bounded sample's ids, at most fit_rows of them
-    picked = [(r.id, r.y) for r in known.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("id", "y").collect()]
+    picked = [(r.id, r.y) for r in least_hashed(known, "id", fit_rows).select("id", "y").collect()]
     n = {y: sum(1 for p in picked if p[1] == y) for y in (0, 1)}
     if not n[0] or not n[1]:
         share = n[1] / max(1, n[0] + n[1])

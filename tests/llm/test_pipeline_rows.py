@@ -50,8 +50,8 @@ def test_rows_of_the_stages(spark):
     docs, columns = spark.read.parquet(f"{folder}/documents.parquet"), docs.columns
 
     good = checkpoint(P.good(spark, docs, folder))
-    scored = quality.score(docs, labels, keep=tuple(columns)).collect()
-    assert Counter(good.collect()) == Counter(tuple(r[f"_keep_{c}"] for c in columns) for r in scored if r.good)
+    scored = quality.score(docs, labels, keep=True).collect()
+    assert Counter(good.collect()) == Counter(r.row for r in scored if r.good)
 
     distinct = checkpoint(P.distinct(spark, good, folder))
     texts = {}
