@@ -11,7 +11,8 @@ step, salt (a hash of the id), size, id.  Counts by (source, size step, salt)
 give each such cell its first place; ranks inside a cell the rest.  So a source
 that holds a third of all rows is still ranked by many tasks, and the only rows
 that one task orders by source are cell counts, whose number is bounded by size
-steps times salts.
+steps times salts.  The number of salts grows with the root of the number of rows.
+Sizes are counted once and written as a table.
 
 Defined results: null text has size 0; null sources form one source, last in
 order; null ids rank first in their cell; repeated rows count as rows; documents
@@ -21,13 +22,22 @@ through ``mix`` and are ignored by ``mix_plan``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import checkpoint
+
+#: Salts for every million rows' root, a thousand.
 SALTS = 16
 
 
+def salts(rows: int) -> int:
+    return SALTS * max(1, math.ceil(math.sqrt(rows) / 1000))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -60,10 +70,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return w.select("source_key", "known", "source_size", target.alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, copies, taken, and each column of ``keep`` as ``_keep_<name>``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), n_words(F.col(text_col)).alias("size"), F.coalesce(F.col(source_col), F.lit("")).alias("source_key"), F.col(source_col).isNotNull().alias("known"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    rows = rows.withColumn("step", F.floor(F.sqrt("size"))).withColumn("salt", F.pmod(_hex16(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(SALTS)))
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, copies, taken; with ``keep`` also ``row``, the whole row."""
+    whole = [F.struct("*").alias("row")] if keep else []
+    rows = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), n_words(F.col(text_col)).alias("size"), F.coalesce(F.col(source_col), F.lit("")).alias("source_key"), F.col(source_col).isNotNull().alias("known"), *whole), "sizes")
+    rows = rows.withColumn("step", F.floor(F.sqrt("size"))).withColumn("salt", F.pmod(_hex16(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(salts(rows.count()))))
     cell = ["source_key", "known", "step", "salt"]
     cells = rows.select(*cell, "size").groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     targets = source_targets(cells.groupBy("source_key", "known").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -75,10 +86,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     place = F.col("first") + F.col("rank")
     copies = F.floor(place * F.col("each") + F.col("offset")) - F.floor((place - 1) * F.col("each") + F.col("offset"))
     out = ranked.withColumn("each", each).withColumn("offset", offset).withColumn("copies", F.least(copies, F.lit(int(-(-most // 1)))).cast("long"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_keep_{c}" for c in keep])
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *["row"] * keep)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it has copies."""
-    plan = mix_plan(docs, id_col, text_col, source_col, keep=tuple(docs.columns), **options)
-    return plan.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    plan = mix_plan(docs, id_col, text_col, source_col, keep=True, **options)
+    return plan.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -67,7 +67,8 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::INTEGER % 16 AS salt
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::INTEGER
+           % (16 * greatest(1, ceil(sqrt((SELECT count(*) FROM documents)) / 1000)))::INTEGER AS salt
   FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source

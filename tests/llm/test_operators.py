@@ -234,6 +234,9 @@ def test_op7(spark, docs, odd, none, same_rows):
     for df in (odd, none):
         rows = mixing.mix_plan(df).collect()
         assert len(rows) == df.count() and all(r.taken <= 2 * r.size and r.target <= 2 * r.source_size for r in rows)
+    big = mixing.mix_plan(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(0.95 * r.target <= r.taken <= 1.05 * r.target for r in big if r.source_size > 10_000) and len(big) > 3
+    assert [mixing.salts(n) for n in (0, 10**6, 10**6 + 1, 3 * 10**10)] == [16, 16, 32, 2784]
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == mixing.mix_plan(docs).agg(F.sum("copies")).first()[0]
 
