@@ -1,9 +1,10 @@
 """Operator 4: media columns from ISO media containers.
 
-``write_container`` stores a payload as the samples of one track; ``read_container``
-walks the nested boxes of any such container, decodes the sample tables (time,
-sync, sample-to-chunk, sizes, chunk offsets) and gives codec, duration and the
-byte range of every keyframe, without decoding a payload.
+``write_container`` stores a payload as the samples of one track; ``read_tracks``
+walks the nested boxes of any such container, decodes each track's own sample tables
+(time, sync, sample-to-chunk, sizes of both kinds, chunk offsets) and gives codec,
+duration and the byte range of every keyframe, without decoding a payload.  Movie
+fragments (``moof``) are refused by name, as are tracks that lack a table.
 
 Defined results: null text counts as empty, and an empty payload still has one
 sample of padding; null ids and repeated rows give separate rows; empty tables
@@ -108,30 +109,78 @@ def _rows(data: memoryview, at: int, kind: str, fields: int = 1) -> np.ndarray:
     return np.frombuffer(data, kind, n * fields, at + 8).astype(np.int64).reshape(n, fields)
 
 
-def read_container(media: bytes) -> dict:
-    """The first track: codec, timescale, ticks, sample offsets and sizes, keyframe numbers from 0."""
-    data = memoryview(media)
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, body, end in boxes(data):
-        found.setdefault(path[-1], (body, end))
-    version = data[found[b"mdhd"][0]]
-    scale, ticks = struct.unpack_from(">IQ" if version else ">II", data, found[b"mdhd"][0] + (20 if version else 12))
-    codec = bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
-    at = found[b"stsz"][0]
-    each, n = struct.unpack_from(">II", data, at + 4)
-    sizes = np.full(n, each, np.int64) if each else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
-    chunk = _rows(data, found[b"co64"][0], ">u8")[:, 0] if b"co64" in found else _rows(data, found[b"stco"][0], ">u4")[:, 0]
-    runs = _rows(data, found[b"stsc"][0], ">u4", 3)
+def _half_sizes(data: memoryview, at: int) -> np.ndarray:
+    """Sample sizes of a ``stz2`` box, in fields of 4, 8 or 16 bits."""
+    width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if width == 4:
+        packed = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12).astype(np.int64)
+        return np.stack([packed >> 4, packed & 15], 1).ravel()[:n]
+    if width not in (8, 16):
+        raise ValueError("a sample size box has fields of an unknown width")
+    return np.frombuffer(data, f">u{width // 8}", n, at + 12).astype(np.int64)
+
+
+def _track(data: memoryview, found: dict[bytes, int]) -> dict:
+    """One track from the places of its own boxes."""
+    def place(*kinds: bytes) -> int:
+        known = [found[k] for k in kinds if k in found]
+        if not known:
+            raise ValueError(f"a track has no {' or '.join(k.decode() for k in kinds)} box")
+        return known[0]
+
+    at = place(b"mdhd")
+    scale, ticks = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
+    at = place(b"stsd")
+    codec = bytes(data[at + 12 : at + 16]).decode("latin-1") if struct.unpack_from(">I", data, at + 4)[0] else ""
+    at = place(b"stsz", b"stz2")
+    if b"stsz" in found:
+        each, n = struct.unpack_from(">II", data, at + 4)
+        sizes = np.full(n, each, np.int64) if each else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+    else:
+        sizes = _half_sizes(data, at)
+    n = len(sizes)
+    chunk = _rows(data, place(b"co64", b"stco"), ">u8" if b"co64" in found else ">u4")[:, 0]
+    runs = _rows(data, place(b"stsc"), ">u4", 3)
     first = runs[:, 0] - 1
-    held = np.repeat(runs[:, 1], np.diff(np.append(first, len(chunk))))
-    if held.sum() != n:
+    if (np.diff(np.append(first, len(chunk))) < 0).any() or len(first) and first[0]:
+        raise ValueError("the sample tables disagree")
+    held = np.repeat(runs[:, 1], np.diff(np.append(first, len(chunk)))) if len(first) else np.zeros(len(chunk), np.int64)
+    times = _rows(data, place(b"stts"), ">u4", 2)
+    if held.sum() != n or times[:, 0].sum() != n:
         raise ValueError("the sample tables disagree")
     before = np.cumsum(sizes) - sizes
-    head = np.cumsum(held) - held
-    offsets = np.repeat(chunk - before[head] if n else chunk, held) + before
-    times = _rows(data, found[b"stts"][0], ">u4", 2)
-    keys = _rows(data, found[b"stss"][0], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
-    return {"codec": codec, "timescale": scale, "ticks": ticks, "table_ticks": int((times[:, 0] * times[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keyframes": keys}
+    some = held > 0
+    head = (np.cumsum(held) - held)[some]
+    offsets = np.repeat(chunk[some] - before[head], held[some]) + before
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("a sample lies outside the file")
+    keys = _rows(data, found[b"stss"], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a keyframe is no sample")
+    handler = bytes(data[found[b"hdlr"] + 8 : found[b"hdlr"] + 12]).decode("latin-1") if b"hdlr" in found else ""
+    return {"handler": handler, "codec": codec, "timescale": scale, "ticks": ticks, "table_ticks": int((times[:, 0] * times[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keyframes": keys}
+
+
+def read_tracks(media: bytes) -> list[dict]:
+    """Every track: handler, codec, timescale, ticks, sample offsets and sizes, keyframe numbers from 0."""
+    data = memoryview(media)
+    found: list[dict[bytes, int]] = []
+    for path, body, _ in boxes(data):
+        if path[-1] in (b"moof", b"mvex"):
+            raise ValueError("movie fragments are not read")
+        if path[-1] == b"trak":
+            found.append({})
+        elif b"trak" in path:
+            found[-1].setdefault(path[-1], body)
+    return [_track(data, f) for f in found]
+
+
+def read_container(media: bytes) -> dict:
+    """The first track; see ``read_tracks``."""
+    tracks = read_tracks(media)
+    if not tracks:
+        raise ValueError("there is no track")
+    return tracks[0]
 
 
 def stored_payload(media: bytes, info: dict) -> bytes:
