@@ -11,7 +11,7 @@ def all_alignments(index, text):
     """(labels, best score, matches) by trying every template at every place."""
     words = text.translate(L._WORDS).split()
     labels, score, found = set(), 0.0, []
-    for label, template, phrases, is_base, total in index.templates:
+    for label, template, phrases, is_base, total, _ in index.templates:
         for o in range(-len(template), len(words) + 1):
             at = lambda j: words[o + j] if 0 <= o + j < len(words) else None  # noqa: E731, B023
             if any(at(i + j) != w for i, phrase in phrases for j, w in enumerate(phrase)):
@@ -20,7 +20,7 @@ def all_alignments(index, text):
             cover = sum(index.idf[w] for w in hit) / total
             if is_base or cover >= L.COVER:
                 labels.add(label)
-                found.append((label, max(o, 0), len(template), round(cover, 9)))
+                found.append((label, o, len(template), round(cover, 9)))
                 score = max(score, cover * (1 - 0.5 ** len(hit)))
     return labels, score, sorted(found)
 
@@ -56,3 +56,33 @@ def test_edited_notices():
             words += notice[rnd.choice([0, 0, 0, 1, 2]) :] + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 4))]
         labels |= same(index, " ".join(words).encode())
     assert labels == {label for label, _, _ in L.NOTICES}
+
+
+def test_idf_of_the_corpus(spark):
+    rows = [(k, "the software is here " * (k % 3)) for k in range(30)] + [(30, None), (31, "Mozilla Public License; MIT license")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = L.corpus_index(df, "text", L.BASE, L.NOTICES)
+    own = {w: sum(w in {*(t or "").lower().replace(";", " ").encode().split()} for _, t in rows) for w in index.vocabulary}
+    assert index.idf == {w: pytest.approx(L.math.log(33 / (0.5 + n))) for w, n in own.items()}
+    assert {r.doc_id: r.labels for r in L.license_scan(df).collect()}[31] == "mit"
+    same(index, b"the mozilla public license v 2 0 this is free and unencumbered software released into the public domain")
+
+
+def test_base_columns_in_sql(spark, duck, docs_folder):
+    """The contract's base columns by DuckDB, over whole tables."""
+    duck.execute(f"CREATE OR REPLACE VIEW scanned AS SELECT * FROM read_parquet('{docs_folder}/documents.parquet')")
+    sql = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^\x01-\x7F]', 'z', 'g')), '[0-9a-z]+') AS words FROM scanned),
+  p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS k FROM w),
+  h AS (SELECT doc_id, k - 1 AS place, CASE WHEN words[k] = 'mit' AND words[k + 1] = 'license' THEN 'mit' WHEN words[k] = 'apache' AND words[k + 1] = 'license' THEN 'apache'
+    WHEN words[k] = 'general' AND words[k + 1] = 'public' AND words[k + 2] = 'license' THEN 'gpl' END AS label FROM p)
+SELECT w.doc_id, len(words) AS n_words, count(label) AS n_base, min(place) FILTER (label IS NOT NULL) AS first_word, max(place) FILTER (label IS NOT NULL) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM w LEFT JOIN h ON w.doc_id = h.doc_id GROUP BY w.doc_id, len(words)"""
+    want = sorted(duck.execute(sql).fetchall())
+    got = sorted(tuple(r)[:6] for r in L.license_scan(spark.read.parquet(f"{docs_folder}/documents.parquet")).collect())
+    assert got == want and any(r[2] for r in want)
+
+
+@pytest.fixture(params=["sf0.001", "sf0.01", "sf0.1"])
+def docs_folder(request):
+    return f"/root/testdata/{request.param}"
