@@ -7,6 +7,7 @@ instead of one row per suffix or signature.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import struct
@@ -14,6 +15,8 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +127,48 @@ def block_count(total_bytes: int, least: int = 8) -> int:
     return max(least, math.ceil(total_bytes / block))
 
 
+#: Rows in an Arrow batch, where the session has Spark's own number of 10,000: whole texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark exchange Arrow batches of BATCH_ROWS rows with Python, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+#: Rows are handed to a Python function so many bytes of text at a time.
+SLICE = 4 << 20
+
+
+def slices(batches, column: str = "text", most: int | None = None):
+    """The rows of Arrow batches in order, in slices of at most that many bytes of text, or one row."""
+    most = most or SLICE
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_library(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _library():
+    return ctypes.CDLL(None)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of numpy numbers as one compressed value; see ``unpack``."""
     head = struct.pack("<B", len(columns))
@@ -198,7 +243,8 @@ _P = U(P61)
 def _mod61(x: np.ndarray) -> np.ndarray:
     """64-bit numbers modulo the prime."""
     x = (x & _P) + (x >> U(61))
-    return np.where(x >= _P, x - _P, x)
+    x -= _P * (x >= _P)
+    return x
 
 
 def multiply61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -223,11 +269,12 @@ def prefix61(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of (byte + 1) * base**place, by the powers' low and high 32 bits; exact for up to 2**22 bytes."""
     if len(data) > 1 << 22:
         raise ValueError("too many bytes at once")
-    up, _ = powers61(len(data) + 1)
+    up = powers61(len(data) + 1)[0][: len(data)]
     c = data.astype(U) + U(1)
     low, high = np.zeros(len(data) + 1, U), np.zeros(len(data) + 1, U)
-    np.cumsum(c * (up[: len(data)] & U(0xFFFFFFFF)), out=low[1:])
-    np.cumsum(c * (up[: len(data)] >> U(32)), out=high[1:])
+    for out, part in ((low, up & U(0xFFFFFFFF)), (high, up >> U(32))):
+        part *= c
+        np.cumsum(part, out=out[1:])
     return low, high
 
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
 from .licenses import BASE, NOTICES
 
 #: The least share of a notice's IDF that must stand in place.
@@ -120,7 +121,7 @@ def corpus_index(docs: DataFrame, text_col: str, base: dict[str, str], notices)
 
     def count(batches):
         got: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
                 got[b""] = got.get(b"", 0) + 1
                 for w in vocabulary.intersection((text or b"").translate(_WORDS).split()):
@@ -134,10 +135,11 @@ def corpus_index(docs: DataFrame, text_col: str, base: dict[str, str], notices)
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, notices=None, keep_matches: bool = False) -> DataFrame:
     """One row per row of ``docs``: n_words, n_base, first_word, last_word, base_labels, labels, score [, matches]."""
+    small_batches(docs.sparkSession)
     index = corpus_index(docs, text_col, BASE if base is None else base, NOTICES if notices is None else notices)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [index.scan((t.as_py() or "").encode()) for t in batch.column("text")]
             match = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("cover", pa.float64())]))
             columns = [

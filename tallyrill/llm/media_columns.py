@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 SAMPLE, PAD = 576, 255
 #: Samples from one keyframe to the next, samples in a chunk, and ticks a second.
 GROUP, CHUNK, RATE = 16, 64, 48_000
@@ -206,7 +208,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "keyframes")}
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
@@ -226,6 +228,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), ranges]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(v, t) for v, t in zip(out.values(), kinds)]], ["id", *out])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, keyframes array<struct<start:long,stop:long>>"
     out = source.mapInArrow(run, schema)

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, block_count, checkpoint, discard, mix, pack, salted_join, text_size, unpack, unpack_all, word_hashes
+from .common import U, block_count, checkpoint, mix, pack, salted_join, slices, small_batches, text_size, unpack, unpack_all, word_hashes
 from .components import components
 
 #: Classes in a chunk: so many times the root of their cluster's number, within these bounds, ...
@@ -81,7 +81,7 @@ def bands(most: int) -> list[tuple[int, int]]:
 
 
 #: Texts are hashed so many bytes at a time.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 def _pieces(texts: list[bytes]):
@@ -277,7 +277,7 @@ def may_link(source: DataFrame, rule: Links, words: int, total: int) -> DataFram
     width = 3 if total / buckets < 6 * (1 << 21) else 4
 
     def announce(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
             c1, _ = class_of(sets)
             none = np.array(batch.column("id").is_null())
@@ -420,6 +420,7 @@ def _named_classes(docs: DataFrame, id_col: str, text_col: str, words: int, perc
     """
     if not 70 <= percent <= 100:  # linked sizes must lie in one band or two neighbouring ones
         raise ValueError("percent must be from 70 to 100")
+    small_batches(docs.sparkSession)
     rule = Links(percent)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     _, total = text_size(source)
@@ -427,7 +428,7 @@ def _named_classes(docs: DataFrame, id_col: str, text_col: str, words: int, perc
     sha = ["sha"] if keyed else []
 
     def classify(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
             c1, c2 = class_of(sets)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -435,7 +436,7 @@ def _named_classes(docs: DataFrame, id_col: str, text_col: str, words: int, perc
 
     def sign(batches):
         """Packed signatures for a bucket from 0; packed star edges for one below 0."""
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
             c1, _ = class_of(sets)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -478,7 +479,7 @@ def _sha(text: str):
 def _verified(kept: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Links, words: int) -> DataFrame:
     """``classes`` with the component that each is in and the rows of other classes that it links with."""
     def fetch(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets([(t.as_py() or "").encode() for t in batch.column("text")], words)
             c1, c2 = class_of(sets)
             yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["c1", "c2", "shingles"])
@@ -558,14 +559,15 @@ def _verified(kept: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Link
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one row of each component, the first by (id, nulls last, SHA-256 of the text); rows without shingles all stay."""
     rows, named = _named_classes(docs, id_col, text_col, words, percent, keyed=True)
-    own, empty = [n for n in map("near_{}".format, range(len(docs.columns) + 2)) if n not in docs.columns][:2]
+    own, repeats = [n for n in map("near_{}".format, range(len(docs.columns) + 2)) if n not in docs.columns][:2]
     key = lambda none, id_, sha: F.struct(F.coalesce(id_, F.lit(-1)).alias("id"), none.alias("none"), sha.alias("sha")).alias(own)
+    counts = rows.groupBy(key(F.col("id").isNull(), F.col("id"), F.col("sha"))).agg(F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"))
     firsts = named.groupBy("component").agg(F.min("first").alias("first"))
-    stay = firsts.select(key(F.col("first.none"), F.col("first.id"), F.col("first.sha")), F.lit(False).alias(empty))
-    alone = rows.where("size = 0").select(key(F.col("id").isNull(), F.col("id"), F.col("sha")), F.lit(True).alias(empty)).distinct()
+    stay = firsts.select(key(F.col("first.none"), F.col("first.id"), F.col("first.sha"))).join(counts, own).select(own, (F.col("rows") > 1).alias(repeats))
+    alone = counts.where("size = 0").select(own, F.lit(False).alias(repeats))  # each row is a component by itself
     id_ = F.col(id_col).cast("long")
-    # merged, not broadcast: so the texts lie by key already where repeats are dropped
-    found = docs.select("*", key(id_.isNull(), id_, _sha(text_col))).join(stay.unionByName(alone).hint("merge"), own)
-    # rows that repeat the kept id and text are copies of it; a row without shingles is a component by itself
-    found = found.withColumn(empty, F.when(F.col(empty), F.monotonically_increasing_id()))
-    return found.dropDuplicates([own, empty]).select(*docs.columns)
+    # merged, not broadcast, as both sides grow with the corpus; the texts are shuffled once
+    found = docs.select("*", key(id_.isNull(), id_, _sha(text_col))).join(checkpoint(stay.unionByName(alone), "stay").hint("merge"), own)
+    # rows that repeat the kept id and text are copies of it; only those are compared by key
+    again = found.where(F.col(repeats)).dropDuplicates([own])
+    return found.where(~F.col(repeats)).unionByName(again).select(*docs.columns)

@@ -26,11 +26,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import checkpoint, least_hashed, salted_join
+from .common import checkpoint, least_hashed, salted_join, slices, small_batches
 
 FEATURES = ("short", "repeat", "neighbour", "upper", "symbol", "digit", "pipe", "stop", "long", "lines", "bang", "vowel")
 _UPPER = {c for c in range(65, 91)}
@@ -109,14 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return w
 
 
-def evidence(weights: np.ndarray):
-    """A column function: the classifier's probability that a text is good."""
+def with_evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``rows`` (text, ...) with p, the classifier's probability that a text is good, in place of the text."""
+    kept = [c for c in rows.columns if c != "text"]
 
-    def good(texts: pd.Series) -> pd.Series:
-        z = expand(np.array([shape(t) for t in texts], float).reshape(-1, len(FEATURES)))
-        return pd.Series(1 / (1 + np.exp(-np.clip(z @ weights, -30, 30))))
+    def run(batches):
+        for batch in slices(batches):
+            z = expand(np.array([shape(t.as_py()) for t in batch.column("text")], float).reshape(-1, len(FEATURES)))
+            p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(p)], [*kept, "p"])
 
-    return pandas_udf(good, "double")
+    return rows.mapInArrow(run, StructType([*rows.select(*kept).schema.fields, StructField("p", DoubleType())]))
 
 
 def host_of(url: Column) -> Column:
@@ -154,7 +159,8 @@ def site_sums(scored: DataFrame) -> tuple[DataFrame, dict]:
     rate, host_k, documents, _ = _spread(hosts, "hs", "hh", "hn")
     _, path_k, _, sites = _spread(paths, "ps", "pp", "n")
     both = salted_join(paths.withColumnRenamed("n", "pn"), hosts.drop("hh"), ["host_key"], ["path_key"], sites)
-    return both.select("host_key", "path_key", "ps", F.col("pn").alias("n"), "hs", "hn"), {"rate": rate, "host_k": host_k, "path_k": path_k, "documents": documents}
+    # written, so that its size is known when the join with all rows is planned
+    return checkpoint(both.select("host_key", "path_key", "ps", F.col("pn").alias("n"), "hs", "hn"), "sites"), {"rate": rate, "host_k": host_k, "path_k": path_k, "documents": documents}
 
 
 def _logit(p: Column) -> Column:
@@ -180,11 +186,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``host`` and ``path`` are columns, such as ``host_of`` and ``path_of`` a URL.
     ``exclude`` is a predicate on ``id`` of labelled rows that the fit must not see.
     """
-    good = evidence(fit(docs, labels, id_col, text_col, label_col, fit_rows, exclude))
+    small_batches(docs.sparkSession)
+    weights = fit(docs, labels, id_col, text_col, label_col, fit_rows, exclude)
     key = lambda c: F.coalesce(F.concat(F.lit("="), (F.col(c) if isinstance(c, str) else c).cast("string")), F.lit(""))
     whole = [F.struct("*").alias("row")] if keep else []
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key(host).alias("host_key"), key(path).alias("path_key"), good(F.coalesce(F.col(text_col), F.lit(""))).alias("p"), *whole)
-    out = posterior(checkpoint(rows, "evidence"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key(host).alias("host_key"), key(path).alias("path_key"), F.col(text_col).alias("text"), *whole)
+    out = posterior(checkpoint(with_evidence(rows, weights), "evidence"))
     return out.select(F.col("id").alias(id_col), F.col("p").alias("evidence"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("good"), *["row"] * keep)
 
 

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, block_count, mix, pack, prefix61, prefix_hash, slice61, slice_hash, text_size, unpack_all
+from .common import U, block_count, mix, pack, prefix61, prefix_hash, slice61, slice_hash, slices, small_batches, text_size, unpack_all
 
 #: A piece of this many bytes is hashed at once.
 PIECE = 1 << 18
@@ -176,6 +176,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 0 < token <= length:
         raise ValueError("token must be from 1 to length")
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     _, total = text_size(source)
     n = block_count(total)
@@ -399,7 +400,7 @@ def _splitters(source: DataFrame, length: int, token: int, buckets: int, total:
     bound = min((1 << 64) - 1, int(PER_BUCKET * buckets / max(expected, 1.0) * (1 << 64)))
 
     def sample(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
             parts = list(stretches(rows, length, token))
             if parts:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import checkpoint, least_hashed
+from .common import checkpoint, least_hashed, slices, small_batches
 from .ngram_join import shingle_sets
 
 #: Bytes A-Z as a-z; other ASCII than letters is a gap, bytes from 128 belong to words.
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     sample = sample.groupBy(family("text").alias("h"), "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got: dict[bytes, list[int]] = {}
             totals = [0, 0]
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     trial = Scorer(weights)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ys, ns, best, every = [], [], [], []
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
@@ -213,10 +213,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Passages are the significant segments: first and last word (from 0), score and
     log E-value.
     """
+    small_batches(docs.sparkSession)
     scorer = fit(docs, labels, id_col, text_col, label_col, fit_rows)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [scorer.evidence(words_of(t)) for t in batch.column("text").to_pylist()]
             scores = [scorer.score(g[0]) for g in got]
             passage = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("log_e", pa.float64())]))
