@@ -37,7 +37,7 @@ from .common import slices, small_batches
 
 #: Fixed value: the pattern of byte-level BPE that cuts text into pieces, the commonest kind first.
 PATTERN = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 50_000
+MEMO = 100_000
 
 
 def _byte_letters() -> dict[str, int]:
