@@ -26,9 +26,18 @@ FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER B
   CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_suppkey * 10 END AS "offset" FROM {lineitem}) AS placed""",
     "samples": """
 SELECT event_id AS id, event_type AS series, ts, CAST(event_id % 400 AS DOUBLE) AS value FROM {events}""",
+    # candidates of a segment: 24 suppliers found by arithmetic on its key, so their number does not grow with the suppliers
     "nodes": """
-SELECT p_partkey AS segment, s_suppkey AS node, s_nationkey AS domain, (p_partkey * 7919 + s_suppkey * 104729) % 1000003 AS score
-FROM {part} CROSS JOIN {supplier}""",
+SELECT segment, s_suppkey AS node, s_nationkey AS domain, (segment * 7919 + s_suppkey * 104729) % 1000003 AS score
+FROM (SELECT DISTINCT segment, (segment * 31 + k * 7817) % (SELECT max(s_suppkey) FROM {supplier}) + 1 AS candidate FROM (SELECT p_partkey AS segment, EACH_OF_24 AS k FROM {part}) AS tried) AS chosen
+JOIN {supplier} ON s_suppkey = candidate""",
+    "counters": """
+SELECT event_id AS id, event_type AS series, 'k' || CAST(user_id % 4 AS STRING) AS kind, ts, CAST(event_id % 400 AS DOUBLE) AS value FROM {events}""",
+    "gauges": """
+SELECT s_suppkey AS node, 'shard' || CAST(s_nationkey AS STRING) AS shard, s_suppkey % 9 > 0 AS running, s_suppkey % 5 - 1 AS role, s_suppkey * 13 % 101 - 1 AS last_log, s_suppkey * 7 % 97 - 1 AS committed, s_suppkey % 4 AS followers, s_suppkey % 6 = 0 AS fenced
+FROM {supplier}""",
+    "pieces": """
+SELECT o_orderkey AS segment, o_custkey % 300 AS range_id, o_orderkey % 17 * 40 AS base, o_orderkey % 17 * 40 + 30 + o_custkey % 12 AS next, o_custkey % 5 AS slot, o_orderkey % 400 AS name, o_orderkey % 19 = 0 AS active FROM {orders}""",
 }
 
 
@@ -36,14 +45,14 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture, or one of the driver's tables."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = SQL[name].replace('"offset"', "`offset`")
+    sql = SQL[name].replace('"offset"', "`offset`").replace("EACH_OF_24", "explode(sequence(0, 23))")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "events", "lineitem", "part", "supplier") if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 
 def with_fixtures(sql: str) -> str:
     """DuckDB SQL with the fixtures that it names as common table expressions."""
-    named = [f"{n} AS ({q.replace('{', '').replace('}', '')})" for n, q in SQL.items() if f" {n}" in sql.replace("\n", " ")]
+    named = [f"{n} AS ({q.replace('{', '').replace('}', '').replace('EACH_OF_24', 'unnest(range(0, 24))')})" for n, q in SQL.items() if f" {n}" in sql.replace("\n", " ")]
     head, _, rest = sql.strip().partition(" ")
     if head.upper() == "WITH" and named:
         recursive = rest.startswith("RECURSIVE ")
