@@ -104,14 +104,15 @@ def retention_verdicts(segments: DataFrame, tiers: DataFrame, cursors: DataFrame
     return rows.select("segment", reason.alias("verdict"))
 
 
-def lease_fold(commands: DataFrame) -> DataFrame:
+def lease_fold(commands: DataFrame, epochs: int | None = None) -> DataFrame:
     """The answer to each lease command of a range, folded in order, with the epoch after it.
 
     commands: range_id, position, verb, node, at, duration, epoch.  A grant has no
     deadline and a holder only yields it by release; acquire takes a free or expired
     lease or the caller's own; renew needs holder and epoch and a deadline yet to
     come, which it never shortens; each grant or acquisition is a new epoch.
-    A range's log is folded by one task in one pass; ranges are independent.
+    A range's log is folded by one task in one pass; ranges are independent.  ``epochs``:
+    claimed epochs are numbers modulo that.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +137,7 @@ def lease_fold(commands: DataFrame) -> DataFrame:
                     answer = "no_lease"
                 elif holder != node:
                     answer = "not_holder"
-                elif claimed != epoch:
+                elif claimed != (epoch % epochs if epochs else epoch):
                     answer = "epoch_mismatch"
                 elif verb == "release":
                     live = False
@@ -154,12 +155,13 @@ def lease_fold(commands: DataFrame) -> DataFrame:
     return commands.groupBy("range_id").applyInPandas(fold, "range_id long, position long, answer string, fencing_epoch long")
 
 
-def cursor_fold(commits: DataFrame) -> DataFrame:
+def cursor_fold(commits: DataFrame, generations: int | None = None) -> DataFrame:
     """The answer to each cursor commit of (group, range), in order.
 
     commits: group_id, range_id, position, expected (generation), segment, base, next, offset.
     The offset must lie in its segment, the generation must be the current one, and
     a cursor never goes back: within a segment it may stay, into another it must advance.
+    ``generations``: expected generations are numbers modulo that.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +170,7 @@ def cursor_fold(commits: DataFrame) -> DataFrame:
         for expected, own, base, end, offset in rows[["expected", "segment", "base", "next", "offset"]].itertuples(index=False):
             if not base <= offset <= end:
                 answer = "outside_segment"
-            elif expected != generation:
+            elif expected != (generation % generations if generations else generation):
                 answer = "generation_mismatch"
             elif at is not None and (offset < at or own != segment and offset == at):
                 answer = "backward"

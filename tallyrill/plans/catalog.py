@@ -141,14 +141,14 @@ def epoch_lookup(records, epochs):
 
 
 @_query("epochs", sql="""WITH vectors AS (SELECT range_id, row_number() OVER (PARTITION BY range_id ORDER BY start_offset) AS ordinal, epoch, start_offset FROM epochs),
-  differ AS (SELECT range_id, ordinal, CASE WHEN range_id % 3 = 0 AND ordinal >= 4 THEN start_offset - 1 END AS p FROM vectors)
-SELECT range_id, CASE WHEN count(p) = 0 THEN 'agreed' ELSE 'diverged' END AS verdict, arg_min(p, ordinal) FILTER (p IS NOT NULL) AS "at" FROM differ GROUP BY range_id""")
+  differ AS (SELECT range_id, ordinal, CASE WHEN range_id % 7 <> 4 AND range_id % 3 = 0 AND ordinal >= 4 THEN start_offset - 1 END AS p FROM vectors)
+SELECT range_id, CASE WHEN range_id % 7 = 4 THEN 'unknown' WHEN count(p) = 0 THEN 'agreed' ELSE 'diverged' END AS verdict, arg_min(p, ordinal) FILTER (p IS NOT NULL) AS "at" FROM differ GROUP BY range_id""")
 def lineage_check(epochs):
     from pyspark.sql.window import Window as W
 
     left = epochs.withColumn("ordinal", F.row_number().over(W.partitionBy("range_id").orderBy("start_offset")))
     moved = (F.col("range_id") % 3 == 0) & (F.col("ordinal") >= 4)
-    return G.lineage_divergence(left, left.withColumn("start_offset", F.when(moved, F.col("start_offset") - 1).otherwise(F.col("start_offset"))))
+    return G.lineage_divergence(left, left.where("range_id % 7 <> 4").withColumn("start_offset", F.when(moved, F.col("start_offset") - 1).otherwise(F.col("start_offset"))))
 
 
 @_query("records", sql="""WITH RECURSIVE ordered AS (SELECT unit, position, bytes, row_number() OVER (PARTITION BY unit ORDER BY position) AS n FROM records),
@@ -161,9 +161,20 @@ def greedy_batches(records):
     return G.greedy_batches(records, 25, 600)
 
 
-@_query("records")
+@_query("records", sql="""WITH RECURSIVE asked AS (SELECT range_id, position, producer, epoch, position % 1000 // 20 AS sequence, bytes AS code, row_number() OVER (PARTITION BY range_id ORDER BY position) AS n FROM records),
+  fold AS (SELECT range_id, 0::BIGINT AS n, NULL::BIGINT AS position, '' AS verdict, NULL::BIGINT AS "offset", MAP {}::MAP(VARCHAR, BIGINT) AS latest, MAP {}::MAP(VARCHAR, BIGINT) AS codes, MAP {}::MAP(VARCHAR, BIGINT) AS offsets, MAP {}::MAP(BIGINT, BIGINT) AS newest, 0::BIGINT AS tip
+    FROM (SELECT DISTINCT range_id FROM records)
+    UNION ALL SELECT range_id, n, position, verdict, CASE verdict WHEN 'append' THEN tip WHEN 'duplicate' THEN offsets[s] END,
+      CASE verdict WHEN 'append' THEN map_concat(latest, MAP {k: sequence}) ELSE latest END, CASE verdict WHEN 'append' THEN map_concat(codes, MAP {s: code}) ELSE codes END, CASE verdict WHEN 'append' THEN map_concat(offsets, MAP {s: tip}) ELSE offsets END,
+      CASE verdict WHEN 'append' THEN map_concat(newest, MAP {producer: greatest(epoch, coalesce(newest[producer], epoch))}) ELSE newest END, tip + (verdict = 'append')::BIGINT
+    FROM (SELECT *, CASE WHEN codes[s] = code THEN 'duplicate' WHEN codes[s] IS NOT NULL THEN 'conflict' WHEN epoch < newest[producer] THEN 'fenced' WHEN latest[k] IS NULL AND sequence <> 0 THEN 'gap'
+        WHEN sequence <= latest[k] - 3 THEN 'below_window' WHEN sequence <> latest[k] + 1 THEN 'gap' ELSE 'append' END AS verdict
+      FROM (SELECT a.*, f.latest, map_from_entries(list_filter(map_entries(f.codes), lambda e: f.latest[split_part(e.key, '/', 1)] - split_part(e.key, '/', 2)::BIGINT < 3)) AS codes, f.offsets, f.newest, f.tip, a.producer || '-' || a.epoch AS k, a.producer || '-' || a.epoch || '/' || a.sequence AS s
+        FROM fold f JOIN asked a ON a.range_id = f.range_id AND a.n = f.n + 1)))
+SELECT range_id, position, verdict, "offset" FROM fold WHERE n > 0""")
 def producer_checks(records):
-    return G.producer_verdicts(records.select("range_id", "position", "producer", "epoch", "sequence", F.col("bytes").alias("code")))
+    asked = records.select("range_id", "position", F.col("position").alias("group"), "producer", "epoch", F.expr("position % 1000 div 20").alias("sequence"), F.col("bytes").alias("code"))
+    return G.producer_verdicts(asked, window=3)
 
 
 @_query("records", sql="SELECT producer, epoch, min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS records FROM records GROUP BY producer, epoch")
@@ -201,12 +212,47 @@ def replica_placement(nodes):
     return G.place_replicas(nodes, 3)
 
 
-@_query("epochs", sql="""WITH s AS (SELECT range_id, start_offset AS base, start_offset + 6 + epoch AS next FROM epochs), n AS (SELECT *, lead(base) OVER (PARTITION BY range_id ORDER BY base, next) AS following FROM s)
-SELECT range_id, count(*) FILTER (following < next) AS overlaps, count(*) - count(DISTINCT base) AS repeated_slots FROM n GROUP BY range_id""")
+@_query("epochs", sql="""WITH s AS (SELECT range_id, start_offset AS base, start_offset + 6 + epoch AS next FROM epochs), n AS (SELECT *, max(next) OVER (PARTITION BY range_id ORDER BY base, next ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s)
+SELECT range_id, count(*) FILTER (base < reach) AS overlaps, count(*) - count(DISTINCT base) AS repeated_slots FROM n GROUP BY range_id""")
 def catalog_conflicts(epochs):
     return G.catalog_conflicts(epochs.select("range_id", F.col("start_offset").alias("base_offset"), (F.col("start_offset") + 6 + F.col("epoch")).alias("next_offset")))
 
 
+@_query("pieces", sql="""WITH m AS (SELECT *, count(*) OVER (PARTITION BY name, range_id) AS ids, max("next") OVER (PARTITION BY range_id ORDER BY base, "next", segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach,
+    sum(active::INTEGER) OVER (PARTITION BY range_id) AS open FROM pieces), d AS (SELECT range_id, base, count(DISTINCT "next") AS ends, count(DISTINCT slot) AS slots FROM pieces GROUP BY range_id, base),
+  r AS (SELECT m.segment, m.active, CASE WHEN ids > 1 THEN 'duplicate_id' WHEN ends > 1 THEN 'slot_conflict' WHEN slots > 1 THEN 'lineage_conflict' WHEN m.base < reach THEN 'overlap' WHEN m.active AND open > 1 THEN 'several_active' END AS reason
+    FROM m JOIN d ON m.range_id = d.range_id AND m.base = d.base)
+SELECT segment, CASE WHEN reason IS NOT NULL THEN 'quarantined' WHEN active THEN 'active' ELSE 'sealed' END AS verdict, reason FROM r""")
+def startup_catalog(pieces):
+    return G.startup_catalog(pieces)
+
+
+@_query("records", "pieces", sql="""WITH o AS (SELECT position % 300 AS range_id, position % 900 AS "offset" FROM records),
+  f AS (SELECT o.range_id, o."offset", min(p."next") AS "next" FROM (SELECT DISTINCT * FROM o) o LEFT JOIN pieces p ON p.range_id = o.range_id AND p."next" > o."offset" GROUP BY 1, 2),
+  s AS (SELECT range_id, "next", min({'base': base, 'segment': segment}) AS held FROM pieces GROUP BY 1, 2)
+SELECT o.range_id, o."offset", s.held.segment AS segment, s.held.base AS base FROM o JOIN f ON o.range_id = f.range_id AND o."offset" = f."offset" LEFT JOIN s ON s.range_id = f.range_id AND s."next" = f."next" """)
+def segment_lookup(records, pieces):
+    return G.segment_of(records.select((F.col("position") % 300).alias("range_id"), (F.col("position") % 900).alias("offset")), pieces)
+
+
+@_query("records", "marks", sql=f"""WITH {_OFFSETS}, v AS (SELECT o.*, least(m.high_watermark, m.committed) AS stop FROM offsets o JOIN marks m ON o.range_id = m.range_id WHERE o."offset" < least(m.high_watermark, m.committed) AND o."offset" >= 5),
+  b AS (SELECT *, sum(bytes) OVER w AS total, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY range_id ORDER BY "offset")),
+  g AS (SELECT *, min(CASE WHEN "offset" // 10 % 4 = 3 THEN "offset" END) OVER (PARTITION BY range_id) AS hole FROM b WHERE n = 1 OR (n <= 40 AND total <= 500)),
+  s AS (SELECT range_id, count(*) AS records, sum(bytes)::BIGINT AS bytes, max("offset") + 1 AS stop, count(DISTINCT "offset" // 10) AS segments FROM g WHERE hole IS NULL OR "offset" < hole GROUP BY range_id)
+SELECT m.range_id, coalesce(s.records, 0) AS records, coalesce(s.bytes, 0) AS bytes, coalesce(s.stop, 5) AS next_offset, coalesce(s.segments, 0) AS segments FROM marks m LEFT JOIN s ON m.range_id = s.range_id""")
+def fetch_across_segments(records, marks):
+    rows = G.assign_offsets(records, F.lit(0)).select("range_id", "offset", "bytes")
+    segments = rows.where("offset div 10 % 4 <> 3").select("range_id", F.expr("offset div 10 * 10").alias("base"), F.expr("offset div 10 * 10 + 10").alias("next")).distinct()
+    return G.fetch_through(rows, segments, marks, 5, 40, 500)
+
+
+@_query("records", sql="""SELECT topic, position, bytes FROM (SELECT topic || '-' || unit AS topic, position, bytes + CASE WHEN position % 997 = 5 THEN 100 ELSE 0 END AS bytes FROM records)
+QUALIFY max(bytes) OVER (PARTITION BY topic) <= 50""")
+def isolated_topics(records):
+    size = F.col("bytes") + F.when(F.col("position") % 997 == 5, 100).otherwise(0)
+    return G.isolate_oversized(records.select(F.concat("topic", F.lit("-"), F.col("unit").cast("string")).alias("topic"), "position", size.alias("bytes")), 50)
+
+
 @_query("records", sql="SELECT epoch AS group_id, range_id, count(DISTINCT producer) AS holders FROM records GROUP BY epoch, range_id HAVING count(DISTINCT producer) > 1")
 def shared_assignments(records):
     return G.shared_assignments(records.select(F.col("epoch").alias("group_id"), "range_id", F.col("producer").alias("member")))

@@ -99,19 +99,42 @@ def rendezvous_scores(supplier):
     return supplier.select(F.col("s_suppkey").alias("node"), (score % F.lit(1_000_000_007)).cast("long").alias("score"))
 
 
-@query("events")
+@query("events", sql="""WITH RECURSIVE c AS (SELECT user_id % 20 AS range_id, event_id AS position, CASE event_id % 5 WHEN 1 THEN 'renew' WHEN 2 THEN 'release' WHEN 4 THEN 'grant' ELSE 'acquire' END AS verb, event_id % 3 AS node, event_id AS at_, event_id % 90 AS duration, event_id % 7 AS claimed,
+    row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS n FROM events),
+  fold AS (SELECT range_id, 0::BIGINT AS n, NULL::BIGINT AS position, '' AS answer, 0::BIGINT AS epoch, NULL::BIGINT AS holder, NULL::BIGINT AS until, false AS live FROM (SELECT DISTINCT range_id FROM c)
+    UNION ALL SELECT range_id, n, position, answer, epoch + CASE WHEN answer = 'ok' AND verb IN ('grant', 'acquire') THEN 1 ELSE 0 END, CASE WHEN answer = 'ok' AND verb IN ('grant', 'acquire') THEN node ELSE holder END,
+      CASE WHEN answer <> 'ok' THEN until WHEN verb = 'grant' THEN NULL WHEN verb = 'acquire' THEN at_ + duration WHEN verb = 'renew' THEN greatest(until, at_ + duration) ELSE until END,
+      CASE WHEN answer <> 'ok' THEN live WHEN verb = 'release' THEN false WHEN verb IN ('grant', 'acquire') THEN true ELSE live END
+    FROM (SELECT c.*, f.epoch, f.holder, f.until, f.live, CASE WHEN verb IN ('acquire', 'renew') AND duration <= 0 THEN 'bad_duration' WHEN verb = 'grant' THEN 'ok'
+        WHEN verb = 'acquire' THEN CASE WHEN f.live AND f.until IS NULL THEN 'no_deadline' WHEN f.live AND f.holder <> node AND at_ < f.until THEN 'held' ELSE 'ok' END
+        WHEN NOT f.live THEN 'no_lease' WHEN f.holder <> node THEN 'not_holder' WHEN claimed <> f.epoch % 7 THEN 'epoch_mismatch' WHEN verb = 'release' THEN 'ok' WHEN f.until IS NULL THEN 'no_deadline' WHEN at_ >= f.until THEN 'expired' ELSE 'ok' END AS answer
+      FROM fold f JOIN c ON c.range_id = f.range_id AND c.n = f.n + 1))
+SELECT range_id, position, answer, epoch AS fencing_epoch FROM fold WHERE n > 0""")
 def lease_fold(events):
     e = F.col("event_id")
     verb = F.element_at(F.array(*map(F.lit, ("acquire", "renew", "release", "acquire", "grant"))), (e % 5 + 1).cast("int"))
-    return C.lease_fold(events.select((F.col("user_id") % 20).alias("range_id"), e.alias("position"), verb.alias("verb"), (e % 3).alias("node"), e.alias("at"), (e % 90).alias("duration"), (e % 40).alias("epoch")))
+    commands = events.select((F.col("user_id") % 20).alias("range_id"), e.alias("position"), verb.alias("verb"), (e % 3).alias("node"), e.alias("at"), (e % 90).alias("duration"), (e % 7).alias("epoch"))
+    return C.lease_fold(commands, epochs=7)
 
 
-@query("records")
+@query("records", sql="""WITH RECURSIVE c AS (SELECT epoch AS group_id, range_id, position, position % 4 AS expected, position % 9 AS segment, position % 7 * 500 AS base, position % 7 * 500 + 9000 AS stop,
+    row_number() OVER (PARTITION BY epoch, range_id ORDER BY position) AS n FROM records),
+  fold AS (SELECT group_id, range_id, 0::BIGINT AS n, NULL::BIGINT AS position, '' AS answer, 0::BIGINT AS generation, NULL::BIGINT AS place, NULL::BIGINT AS own FROM (SELECT DISTINCT group_id, range_id FROM c)
+    UNION ALL SELECT group_id, range_id, n, position, answer, generation + (answer = 'ok')::BIGINT, CASE answer WHEN 'ok' THEN position ELSE place END, CASE answer WHEN 'ok' THEN segment ELSE own END
+    FROM (SELECT c.*, f.generation, f.place, f.own, CASE WHEN c.position NOT BETWEEN base AND stop THEN 'outside_segment' WHEN expected <> f.generation % 4 THEN 'generation_mismatch' WHEN c.position < f.place OR (segment <> f.own AND c.position = f.place) THEN 'backward' ELSE 'ok' END AS answer
+      FROM fold f JOIN c ON c.group_id = f.group_id AND c.range_id = f.range_id AND c.n = f.n + 1))
+SELECT group_id, range_id, position, answer, generation FROM fold WHERE n > 0""")
 def cursor_fold(records):
-    return C.cursor_fold(records.select(F.col("epoch").alias("group_id"), "range_id", "position", (F.col("position") % 4).alias("expected"), (F.col("position") % 9).alias("segment"), F.lit(0).alias("base"), F.lit(10_000_000).alias("next"), F.col("position").alias("offset")))
+    p = F.col("position")
+    return C.cursor_fold(records.select(F.col("epoch").alias("group_id"), "range_id", "position", (p % 4).alias("expected"), (p % 9).alias("segment"), (p % 7 * 500).alias("base"), (p % 7 * 500 + 9000).alias("next"), p.alias("offset")), generations=4)
 
 
-@query("records")
+@query("records", sql="""WITH RECURSIVE c AS (SELECT unit AS shard, position, position % 2 = 0 AS produce, CASE WHEN position % 3 = 0 THEN -bytes ELSE bytes * 5 END AS size, row_number() OVER (PARTITION BY unit ORDER BY position) AS n FROM records),
+  fold AS (SELECT shard, 0::BIGINT AS n, NULL::BIGINT AS position, NULL::VARCHAR AS refused_by, 0::BIGINT AS con, 0::BIGINT AS own, 0::BIGINT AS queue, 0::BIGINT AS process FROM (SELECT DISTINCT shard FROM c)
+    UNION ALL SELECT shard, n, position, why, CASE WHEN why IS NULL THEN greatest(0, con + size) ELSE con END, CASE WHEN why IS NULL AND produce THEN greatest(0, own + size) ELSE own END, CASE WHEN why IS NULL AND NOT produce THEN greatest(0, queue + size) ELSE queue END, CASE WHEN why IS NULL THEN greatest(0, process + size) ELSE process END
+    FROM (SELECT c.*, f.con, f.own, f.queue, f.process, CASE WHEN size <= 0 THEN NULL WHEN f.con + size > 300 THEN 'connection' WHEN produce AND f.own + size > 800 THEN 'shard' WHEN NOT produce AND f.queue + size > 500 THEN 'queue' WHEN f.process + size > 1000 THEN 'process' END AS why
+      FROM fold f JOIN c ON c.shard = f.shard AND c.n = f.n + 1))
+SELECT shard, position, refused_by FROM fold WHERE n > 0""")
 def memory_reservations(records):
     scopes = {"produce": [("connection", 300), ("shard", 800), ("process", 1000)], "fetch": [("connection", 300), ("queue", 500), ("process", 1000)]}
     size = F.when(F.col("position") % 3 == 0, -F.col("bytes")).otherwise(F.col("bytes") * 5)

@@ -37,11 +37,31 @@ def test_replication_vectors(spark):
     assert got == {1: (90, "established"), 2: (10, "established"), 3: (None, "no_quorum"), 4: (90, "leader_behind")}
 
 
+def verdicts(spark, rows, **options):
+    df = spark.createDataFrame([(0, k, *r) for k, r in enumerate(rows)], "range_id long, position long, group long, producer long, epoch long, sequence long, code long")
+    return [(r.verdict, r.offset) for r in G.producer_verdicts(df, **options).orderBy("position").collect()]
+
+
 def test_producer_vectors(spark):
-    rows = [(0, 0, 7, 1, 0, 5), (0, 1, 7, 1, 0, 5), (0, 2, 7, 1, 0, 6), (0, 3, 7, 1, 2, 5), (0, 4, 7, 2, 1, 5), (0, 5, 7, 2, 0, 5), (0, 6, 7, 1, 1, 5)]
-    df = spark.createDataFrame(rows, "range_id long, position long, producer long, epoch long, sequence long, code long")
-    got = [r.verdict for r in G.producer_verdicts(df).orderBy("position").collect()]
-    assert got == ["append", "duplicate", "conflict", "gap", "gap", "append", "fenced"]
+    rows = [(7, 1, 0, 5), (7, 1, 0, 5), (7, 1, 0, 6), (7, 1, 2, 5), (7, 2, 1, 5), (7, 2, 0, 5), (7, 1, 1, 5), (7, 1, 0, 5)]
+    got = verdicts(spark, [(k, *r) for k, r in enumerate(rows)])
+    assert got == [("append", 0), ("duplicate", 0), ("conflict", None), ("gap", None), ("gap", None), ("append", 1), ("fenced", None), ("duplicate", 0)]
+
+
+def test_producer_groups_are_whole(spark):
+    got = verdicts(spark, [(0, 1, 1, 0, 9), (0, 1, 1, 1, 9), (1, 1, 1, 2, 9), (1, 1, 1, 4, 9), (1, 1, 1, 3, 9), (2, 1, 1, 2, 8), (2, 1, 1, 2, 8), (2, 1, 1, 0, 9)])
+    assert got == [("append", 0), ("append", 1), ("rejected", None), ("gap", None), ("rejected", None), ("append", 2), ("duplicate", 2), ("duplicate", 0)]
+
+
+def test_producer_window(spark):
+    rows = [(k, 1, 1, k, 5) for k in range(6)] + [(6, 1, 1, 3, 5), (7, 1, 1, 2, 5), (8, 1, 1, 2, 6), (9, 1, 1, 6, 5), (10, 1, 1, 3, 5)]
+    assert [v for v, _ in verdicts(spark, rows, window=3)] == ["append"] * 6 + ["duplicate", "below_window", "below_window", "append", "below_window"]
+
+
+def test_lineage_of_nothing(spark):
+    left = spark.createDataFrame([(1, 1, 1, 0), (2, 1, 1, 0), (2, 2, 2, 9)], "range_id long, ordinal int, epoch long, start_offset long")
+    right = spark.createDataFrame([(2, 1, 1, 0), (3, 1, 1, 0)], left.schema)
+    assert {r.range_id: r.verdict for r in G.lineage_divergence(left, right).collect()} == {1: "unknown", 2: "agreed", 3: "unknown"}
 
 
 def test_quantile_without_counts(spark):
