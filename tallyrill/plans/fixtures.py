@@ -36,6 +36,17 @@ SELECT event_id AS id, event_type AS series, 'k' || CAST(user_id % 4 AS STRING)
     "gauges": """
 SELECT s_suppkey AS node, 'shard' || CAST(s_nationkey AS STRING) AS shard, s_suppkey % 9 > 0 AS running, s_suppkey % 5 - 1 AS role, s_suppkey * 13 % 101 - 1 AS last_log, s_suppkey * 7 % 97 - 1 AS committed, s_suppkey % 4 AS followers, s_suppkey % 6 = 0 AS fenced
 FROM {supplier}""",
+    "claims": """
+SELECT o_orderkey AS batch_id, CASE o_orderkey % 7 WHEN 0 THEN 'source_committed' WHEN 1 THEN 'sealed' WHEN 2 THEN 'failed' ELSE 'verified' END AS state, CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE 'o/' || CAST(o_orderkey AS STRING) END AS object_uri,
+  CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE 'm/' || CAST(o_orderkey AS STRING) END AS manifest_uri, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 3 END AS manifest_version,
+  'h' || CAST(o_orderkey % 7 AS STRING) AS manifest_sha, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_custkey * 100 END AS object_bytes, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE 'd' || CAST(o_orderkey % 10 AS STRING) END AS object_sha,
+  o_orderkey % 11 = 0 AS backend_limited, o_custkey AS created_at FROM {orders} WHERE o_orderkey % 59 > 0""",
+    "manifests": """
+SELECT o_orderkey + CASE WHEN o_orderkey % 53 = 0 THEN 1 ELSE 0 END AS batch_id, 'm/' || CAST(o_orderkey AS STRING) AS uri, (o_orderkey + CASE WHEN o_orderkey % 47 = 0 THEN 1 ELSE 0 END) % 3 AS version, o_orderkey % 4 > 0 OR o_orderkey % 5 > 0 AS latest,
+  'o/' || CAST(o_orderkey + CASE WHEN o_orderkey % 61 = 0 THEN 1 ELSE 0 END AS STRING) AS object_uri, 'h' || CAST((o_orderkey + CASE WHEN o_orderkey % 67 = 0 THEN 1 ELSE 0 END) % 7 AS STRING) AS sha, o_orderkey % 71 > 0 AS authentic,
+  CASE o_orderkey % 9 WHEN 0 THEN 'none' WHEN 1 THEN 'crc' ELSE 'sha256' END AS algorithm, CASE WHEN o_orderkey % 37 = 0 THEN '' ELSE 'D' || CAST(o_orderkey % 10 AS STRING) END AS digest, o_custkey * 100 AS bytes FROM {orders} WHERE o_orderkey % 17 > 0""",
+    "objects": """
+SELECT 'o/' || CAST(o_orderkey AS STRING) AS uri, o_custkey * 100 + CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS bytes, 'd' || CAST((o_orderkey + CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END) % 10 AS STRING) AS digest FROM {orders} WHERE o_orderkey % 19 > 0""",
     "pieces": """
 SELECT o_orderkey AS segment, o_custkey % 300 AS range_id, o_orderkey % 17 * 40 AS base, o_orderkey % 17 * 40 + 30 + o_custkey % 12 AS next, o_custkey % 5 AS slot, o_orderkey % 400 AS name, o_orderkey % 19 = 0 AS active FROM {orders}""",
 }
