@@ -73,7 +73,7 @@ def checkpoint(df: DataFrame, name: str = "step") -> DataFrame:
     the optimizer.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
