@@ -37,7 +37,7 @@ from .common import slices, small_batches
 
 #: Fixed value: the pattern of byte-level BPE that cuts text into pieces, the commonest kind first.
 PATTERN = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 100_000
+MEMO = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -94,11 +94,6 @@ class Codec:
         self.start = self.stop - sizes
         self.buffer = np.frombuffer(b"".join(self.token), np.uint8)
 
-    def forget(self) -> None:
-        """Empty the memos of texts seen."""
-        for memo in (self.memo, self.spaced, self.pairs):
-            memo.clear()
-
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging leaves ``left`` and ``right`` side by side."""
         known = self.pairs.get((left, right))
@@ -244,7 +239,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         from tallyrill.llm.byte_bpe import codec
 
         c = codec(tokenizer)
-        c.forget()
         for batch in slices(batches):
             ids = batch.column("id")
             texts = batch.column("text").to_pylist()
@@ -254,7 +248,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             columns.append(pa.array([hashlib.sha256(c.decode(r).encode()).hexdigest() for r in rows], pa.string()))
             columns.append(pa.array([r.astype(np.int64).tolist() for r in rows] if keep_ids else [None] * len(rows), pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-        c.forget()
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
