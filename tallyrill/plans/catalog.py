@@ -294,4 +294,4 @@ def batch_formats(records):
     return M.dominant_format(records.select(F.expr("position div 40").alias("batch_id"), "position", fmt.alias("format")))
 
 
-from . import cluster, dashboards, recovery, transfer  # noqa: E402, F401  their queries register themselves
+from . import cluster, dashboards, metadata, recovery, transfer  # noqa: E402, F401  their queries register themselves
