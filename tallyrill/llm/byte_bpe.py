@@ -12,8 +12,8 @@ undoing their merges, and is worked out at the first question.
 
 Decoding gathers bytes by an offset table over one buffer of all entries.
 
-Pieces repeat, so a worker memoises them up to ``MEMO`` pieces and starts anew
-beyond; the memo never changes a result.
+Pieces repeat, so a worker memoises those of fewer than ``SHORT`` characters, up to
+``MEMO`` pieces, and starts anew beyond; the memo never changes a result.
 
 Defined results: null text counts as empty, which gives no tokens; rows are
 independent, so repeated rows and null ids give equal, separate rows; empty tables
@@ -38,6 +38,9 @@ from .common import slices, small_batches
 #: Fixed value: the pattern of byte-level BPE that cuts text into pieces, the commonest kind first.
 PATTERN = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 300_000
+SHORT = 64
+#: Pairs of tokens that a worker remembers.
+PAIRS = 1_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -98,6 +101,8 @@ class Codec:
         """Whether merging leaves ``left`` and ``right`` side by side."""
         known = self.pairs.get((left, right))
         if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             known = self.pairs[left, right] = self._compatible(left, right)
         return known
 
@@ -174,7 +179,7 @@ class Codec:
                 got = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
                 if len(memo) >= MEMO:
                     memo.clear()
-                if len(piece) < 64:
+                if len(piece) < SHORT:
                     memo[piece] = got
             out.append(got)
         return b"".join(out)
@@ -188,15 +193,15 @@ class Codec:
         first, *rest = text.split(" ")
         if not rest:
             return self._pieces(text)
-        memo = self.spaced
+        memo, long = self.spaced, {}
         new = [c for c in {*rest} if c not in memo]
         if len(memo) + len(new) > 2 * MEMO:
             memo.clear()
             new = list({*rest})
         for c in new:
             # with white space at an end, the pattern looks beyond the stretch
-            memo[c] = None if not c or c[0].isspace() or c[-1].isspace() else self._pieces(" " + c)
-        got = [memo[c] for c in rest]
+            (memo if len(c) < SHORT else long)[c] = None if not c or c[0].isspace() or c[-1].isspace() else self._pieces(" " + c)
+        got = [long[c] if c in long else memo[c] for c in rest] if long else [memo[c] for c in rest]
         if None not in got and first and not first[-1].isspace():
             return self._pieces(first) + b"".join(got)
         out, held = [], first
