@@ -104,12 +104,24 @@ def per_second(amount: Column, seconds: Column) -> Column:
     return F.when(seconds <= 0, 0.0).otherwise(amount.cast("double") / F.nullif(seconds, F.lit(0.0)))
 
 
-def human_bytes(n: Column) -> Column:
-    """B to TiB with one decimal, halves to even; plain bytes without."""
-    out = F.when(n < 1024, F.format_string("%d B", n))
-    for k, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1)))
-    return out.otherwise(F.format_string("%.1f TiB", F.bround(n / float(1024**4), 1)))
+BYTE_UNITS = ("B", "KiB", "MiB", "GiB", "TiB")
+
+
+def human_bytes(n: Column, largest: str = "TiB") -> Column:
+    """B to ``largest`` with one decimal, halves to even; plain bytes without.
+
+    The rounding is in longs: of a double, Spark rounds the shortest decimals, not the value.
+    """
+    out, last = F.when(n < 1024, F.format_string("%d B", n)), BYTE_UNITS.index(largest)
+    value = n.cast("double").cast("long")  # what a double holds of it
+    for k in range(1, last + 1):
+        rest = value % 1024**k * 10
+        tenths, twice = F.shiftright(rest, 10 * k), rest % 1024**k * 2
+        tenths += F.when((twice > 1024**k) | (twice == 1024**k) & (tenths % 2 == 1), 1).otherwise(0)
+        whole = F.shiftright(value, 10 * k) + F.when(tenths == 10, 1).otherwise(0)
+        text = F.format_string(f"%d.%d {BYTE_UNITS[k]}", whole, tenths % 10)
+        out = out.when(n < 1024 ** (k + 1) if k < last else n.isNotNull(), text)
+    return out
 
 
 def majority(n: Column) -> Column:
