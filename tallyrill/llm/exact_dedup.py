@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, salted_join
+from .common import checkpoint, discard, possible, salted_join
 
 
 def _named(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,17 +96,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
     """``docs`` without the rows that are exact copies of a kept one.
 
-    Rows that repeat a kept row's id and text are dropped too.  Texts are shuffled once,
-    to find those that share length and checksum; only these are named.
+    Rows that repeat a kept row's id and text are dropped too.  Only rows that share
+    length and checksum with another, and few others, are shuffled; only the former
+    are written and named.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("code"))
     shared, total = _shared(whole.select("size", "code"))
     shared = checkpoint(shared, "shared")
-    marked = salted_join(whole, shared, ["size", "code"], ["id"], total, "left").select("row", "id", F.col("n").isNotNull().alias("alike"), F.monotonically_increasing_id().alias("rid"))
-    marked = checkpoint(marked, "marked")
+    marked = possible(whole, shared, ["size", "code"], "marked")
+    meets = lambda how: salted_join(marked.where("marked"), shared, ["size", "code"], ["id"], total, how)
+    alike = checkpoint(meets("left_semi").select("row", "id", F.monotonically_increasing_id().alias("rid")), "alike")
     text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
-    _, groups = _groups(marked.where("alike").select("rid", "id", text.alias("text")), block_bytes)
+    _, groups = _groups(alike.select("rid", "id", text.alias("text")), block_bytes)
     stay = groups.select(F.col("keep.rid").alias("rid"))
-    kept = marked.where("alike").join(stay, "rid", "left_semi").select("row").unionByName(marked.where("not alike").select("row"))
-    return kept.select("row.*")
+    kept = alike.join(stay, "rid", "left_semi").select("row")
+    return kept.unionByName(meets("left_anti").select("row")).unionByName(marked.where("not marked").select("row")).select("row.*")

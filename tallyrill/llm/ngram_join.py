@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, block_count, checkpoint, mix, pack, salted_join, slices, small_batches, text_size, unpack, unpack_all, word_hashes
+from .common import U, block_count, checkpoint, discard, mix, pack, possible, salted_join, slices, small_batches, text_size, unpack, unpack_all, word_hashes
 from .components import components
 
 #: Classes in a chunk: so many times the root of their cluster's number, within these bounds, ...
@@ -329,9 +329,10 @@ def may_link(source: DataFrame, rule: Links, words: int, total: int) -> DataFram
 
 
 def _of_ids(source: DataFrame, holders: DataFrame) -> DataFrame:
-    """Rows of ``source`` with the ids (id, none); those grow with the corpus, so they are never broadcast."""
+    """Rows of ``source`` with the ids (id, none) of a written table; those grow with the corpus, so they are never broadcast."""
     keyed = source.select(F.coalesce("id", F.lit(-1)).alias("_id"), F.col("id").isNull().alias("_none"), "id", "text")
     holders = holders.select(F.col("id").alias("_id"), F.col("none").alias("_none"))
+    keyed = possible(keyed, holders, ["_id", "_none"], "_marked").where("_marked")
     return keyed.join(holders.hint("merge"), ["_id", "_none"], "left_semi").select("id", "text")
 
 
@@ -463,7 +464,9 @@ def _named_classes(docs: DataFrame, id_col: str, text_col: str, words: int, perc
 
     texts = source.withColumn("sha", _sha("text")) if keyed else source
     rows = checkpoint(texts.mapInArrow(classify, "id long, size long, c1 long, c2 long" + ", sha binary" * keyed), "classes")
-    kept = checkpoint(_of_ids(source, may_link(source, rule, words, total)), "kept")
+    holders = checkpoint(may_link(source, rule, words, total), "holders")
+    kept = checkpoint(_of_ids(source, holders), "kept")
+    discard(holders)
     edges = kept.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(link, "a long, b long")
     clusters = components(edges)  # (node, component) over c1
     first = [F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("first")] if keyed else []
@@ -485,7 +488,7 @@ def _verified(kept: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Link
             yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["c1", "c2", "shingles"])
 
     # A row of each candidate class: by id, then by the class of the text itself, as an id may repeat
-    holders = wanted.select(F.coalesce("least", F.lit(-1)).alias("id"), F.col("least").isNull().alias("none")).distinct()
+    holders = checkpoint(wanted.select(F.coalesce("least", F.lit(-1)).alias("id"), F.col("least").isNull().alias("none")).distinct(), "holders")
     texts = _of_ids(kept, holders).select("text")
     sets = texts.mapInArrow(fetch, "c1 long, c2 long, shingles binary").groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
     sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("size")).alias("bytes")).where("n > 1")
@@ -550,6 +553,8 @@ def _verified(kept: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Link
         })
 
     verified = checkpoint(members.groupBy("task").applyInArrow(verify, "c1 long, c2 long, links long, to array<long>"))
+    for read in (kept, wanted, holders, sizes):
+        discard(read)
     linked = components(verified.select(F.col("c1").alias("a"), F.explode("to").alias("b")))
     degrees = verified.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
     named = classes.join(linked.select(F.col("node").alias("c1"), "component"), "c1", "left").join(degrees, ["c1", "c2"], "left")
@@ -559,15 +564,18 @@ def _verified(kept: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Link
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one row of each component, the first by (id, nulls last, SHA-256 of the text); rows without shingles all stay."""
     rows, named = _named_classes(docs, id_col, text_col, words, percent, keyed=True)
-    own, repeats = [n for n in map("near_{}".format, range(len(docs.columns) + 2)) if n not in docs.columns][:2]
-    key = lambda none, id_, sha: F.struct(F.coalesce(id_, F.lit(-1)).alias("id"), none.alias("none"), sha.alias("sha")).alias(own)
+    key = lambda none, id_, sha: F.struct(F.coalesce(id_, F.lit(-1)).alias("id"), none.alias("none"), sha.alias("sha")).alias("own")
     counts = rows.groupBy(key(F.col("id").isNull(), F.col("id"), F.col("sha"))).agg(F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"))
     firsts = named.groupBy("component").agg(F.min("first").alias("first"))
-    stay = firsts.select(key(F.col("first.none"), F.col("first.id"), F.col("first.sha"))).join(counts, own).select(own, (F.col("rows") > 1).alias(repeats))
-    alone = counts.where("size = 0").select(own, F.lit(False).alias(repeats))  # each row is a component by itself
+    stay = firsts.select(key(F.col("first.none"), F.col("first.id"), F.col("first.sha"))).join(counts, "own").select("own", (F.col("rows") > 1).alias("repeats"))
+    alone = counts.where("size = 0").select("own", F.lit(False).alias("repeats"))  # each row is a component by itself
+    stay = checkpoint(stay.unionByName(alone), "stay")
+    # most rows stay, so those are looked up that may not: only their texts are shuffled
+    unsure = checkpoint(counts.select("own").join(stay.where("not repeats").hint("merge"), "own", "left_anti"), "unsure")
     id_ = F.col(id_col).cast("long")
-    # merged, not broadcast, as both sides grow with the corpus; the texts are shuffled once
-    found = docs.select("*", key(id_.isNull(), id_, _sha(text_col))).join(checkpoint(stay.unionByName(alone), "stay").hint("merge"), own)
+    marked = possible(docs.select(F.struct("*").alias("row"), key(id_.isNull(), id_, _sha(text_col))), unsure, ["own"], "marked")
+    # merged, not broadcast, as both sides grow with the corpus
+    found = marked.where("marked").join(stay.hint("merge"), "own")
     # rows that repeat the kept id and text are copies of it; only those are compared by key
-    again = found.where(F.col(repeats)).dropDuplicates([own])
-    return found.where(~F.col(repeats)).unionByName(again).select(*docs.columns)
+    again = found.where("repeats").dropDuplicates(["own"])
+    return marked.where("not marked").select("row.*").unionByName(found.where("not repeats").select("row.*")).unionByName(again.select("row.*"))

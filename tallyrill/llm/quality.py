@@ -168,9 +168,12 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def posterior(scored: DataFrame) -> DataFrame:
-    """``scored`` (host_key, path_key, p, ...) with host_rate, path_rate and score; a row's own p is left out of its rates."""
-    sites, prior = site_sums(scored)
+def posterior(scored: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """``scored`` (host_key, path_key, p, ...) with host_rate, path_rate and score; a row's own p is left out of its rates.
+
+    ``again``: the same rows' keys and p, to sum them by.
+    """
+    sites, prior = site_sums(scored if again is None else again)
     p, rate = F.col("p"), F.lit(prior["rate"])
     host = (F.col("hs") - p + prior["host_k"] * rate) / (F.col("hn") - 1 + prior["host_k"])
     path = (F.col("ps") - p + prior["path_k"] * F.col("host_rate")) / (F.col("n") - 1 + prior["path_k"])
@@ -191,7 +194,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     key = lambda c: F.coalesce(F.concat(F.lit("="), (F.col(c) if isinstance(c, str) else c).cast("string")), F.lit(""))
     whole = [F.struct("*").alias("row")] if keep else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key(host).alias("host_key"), key(path).alias("path_key"), F.col(text_col).alias("text"), *whole)
-    out = posterior(checkpoint(with_evidence(rows, weights), "evidence"))
+    if keep:  # whole rows are scored twice rather than written
+        out = posterior(with_evidence(rows, weights), with_evidence(rows.drop("row"), weights))
+    else:
+        out = posterior(checkpoint(with_evidence(rows, weights), "evidence"))
     return out.select(F.col("id").alias(id_col), F.col("p").alias("evidence"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("good"), *["row"] * keep)
 
 
